@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("splitting",)
+MODULES = ("splitting", "encoding")
 
 
 def _gather(attribute: str) -> dict:
