@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("splitting", "encoding")
+MODULES = ("splitting", "encoding", "leakage")
 
 
 def _gather(attribute: str) -> dict:
