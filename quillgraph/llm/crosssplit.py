@@ -46,7 +46,7 @@ OPENING = re.compile(
     r"please tell me|question\s*\d*[:.]|q\s*\d*[:.]|hello|hi|excuse me)[\s,，:：.、]*"
 )
 CLOSING = re.compile(r"(?:请用[^。]{1,4}作答|please answer in \w+|thank you|thanks|谢谢|[呀呢吗啊])[\s。.!！?？]*$")
-SAME = [("有谁知道", "谁能告诉我"), ("谁知道", "谁能告诉我"), ("啥", "什么"), ("哪个", "哪一个"), ("之", "的"), ("那", "的"), ("里面", "里"), ("中，", "里，")]
+SAME = [("有谁知道", "谁能告诉我"), ("谁知道", "谁能告诉我"), ("啥", "什么"), ("哪个", "哪一个"), ("之", "的"), ("那", "的"), ("里面", "里"), ("》中", "》里"), ("中,", "里,")]
 SAME_WORDS = {"was": "is", "were": "are", "whats": "what", "which": "what", "for": "of", "does": "do", "gives": "give", "page": "pages"}
 
 TOKEN = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")

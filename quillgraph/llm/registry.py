@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("splitting", "encoding", "leakage", "crosssplit")
+MODULES = ("splitting", "encoding", "leakage", "crosssplit", "lookalikes")
 
 
 def _gather(attribute: str) -> dict:
