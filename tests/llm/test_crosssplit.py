@@ -30,7 +30,7 @@ def test_same_words():
 
 
 def test_frame(spark):
-    filler = [(f"f{k}", f"What is the {w} of Somebody{k}?", "train", str(k), False, "x") for k in range(60) for w in ["height" if k % 2 else "weight"]]
+    filler = [(f"f{k}", f"What is the {w} of Somebody{k}?", "train", str(k), False, "x") for k in range(600) for w in ["height" if k % 2 else "weight"]]
     frame = spark.createDataFrame(ROWS + filler + ROWS[:2], SCHEMA)
     got = {(r.id_a, r.id_b) for r in overlaps(frame).collect()}
     assert got == {("q1", "q2"), ("q5", "q7"), ("q11", "q12")}
