@@ -33,7 +33,7 @@ from quillgraph.plans import written
 from quillgraph.sources import table
 
 BUCKETS = 1 << 20
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 48, 3
 #: Power of the inverse document frequency in a shingle's weight.
 POWER = 4.0
 JACCARD = 0.5
@@ -79,24 +79,31 @@ def hashes(texts: list[str]) -> np.ndarray:
     return pd.util.hash_array(np.array(texts, dtype=object), categorize=False)
 
 
+def _word_at(words: list[str]) -> np.ndarray:
+    """Places of words in the table, by other bits of the hash than those of shingles."""
+    return ((hashes(words) >> np.uint64(30)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
 def _counts(canons: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashed document frequencies of shingles and words, and the number of rows."""
+    """Hashed document frequencies of shingles (row 0) and words (row 1), and the number of rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
+        total, n = np.zeros((2, BUCKETS), np.int64), 0
         for batch in batches:
-            flat = [x for c in batch["canon"] for x in {*shingles(c), *("=" + w for w in c.split())}]
             n += len(batch)
-            if flat:
-                total += np.bincount((hashes(flat) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"at": np.append(at, -1).astype(np.int32), "n": np.append(total[at], n)})
+            if len(batch):
+                flat = [x for c in batch["canon"] for x in shingles(c)]
+                words = [w for c in batch["canon"] for w in set(c.split())]
+                total[0] += np.bincount((hashes(flat) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                total[1] += np.bincount(_word_at(words), minlength=BUCKETS)
+        at = np.flatnonzero(total.ravel())
+        yield pd.DataFrame({"at": np.append(at, -1).astype(np.int32), "n": np.append(total.ravel()[at], n)})
 
     rows = canons.select("canon").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    table_ = np.zeros(BUCKETS)
+    table_ = np.zeros(2 * BUCKETS)
     real = rows[rows["at"] >= 0]
     table_[real["at"].to_numpy()] = real["n"].to_numpy()
-    return table_, int(rows.loc[rows["at"] < 0, "n"].sum())
+    return table_.reshape(2, BUCKETS), int(rows.loc[rows["at"] < 0, "n"].sum())
 
 
 def _distance(a: str, b: str, most: int = 2) -> int:
@@ -164,7 +171,7 @@ def overlaps(questions: DataFrame) -> DataFrame:
     )
     rows = written(rows, "questions")
     counts, n = _counts(rows)
-    idf = rows.sparkSession.sparkContext.broadcast((np.log((n + 1) / (counts + 0.5)).clip(0.05).astype(np.float32), (counts >= max(3, COMMON * n))))
+    idf = rows.sparkSession.sparkContext.broadcast((np.log((n + 1) / (counts[0] + 0.5)).clip(0.05).astype(np.float32), counts[1] >= max(3, COMMON * n)))
     keys = ["canon", "answer", "open"]
     classes = rows.groupBy(*keys).agg(F.min("id").alias("class"), F.max("train").alias("has_train"), (~F.min("train")).alias("has_eval"))
 
@@ -172,21 +179,25 @@ def overlaps(questions: DataFrame) -> DataFrame:
         weights = idf.value[0]
         seeds = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
-            out = []
-            for key, canon, train, held in zip(batch["class"], batch["canon"], batch["has_train"], batch["has_eval"], strict=True):
-                h = hashes(shingles(canon))
-                w = weights[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64) ** POWER
-                mixed = (h[None, :] ^ (h[None, :] >> np.uint64(31))) * seeds[:, None]
+            own = [shingles(c) for c in batch["canon"]]
+            if not own:
+                continue
+            h = hashes([x for o in own for x in o])
+            rate = weights[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.float64) ** POWER
+            starts = np.cumsum([0] + [len(o) for o in own[:-1]])
+            bucket = np.zeros((len(own), BANDS), np.uint64)
+            for k, seed in enumerate(seeds):
+                mixed = (h ^ (h >> np.uint64(31))) * seed
                 mixed ^= mixed >> np.uint64(32)
                 mixed *= np.uint64(0xD6E8FEB86659FD93)
                 u = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-                least = h[np.argmin(-np.log(u) / w[None, :], axis=1)].reshape(BANDS, ROWS)
-                bucket = np.zeros(BANDS, np.uint64)
-                for k in range(ROWS):
-                    bucket = (bucket ^ least[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-                    bucket ^= bucket >> np.uint64(29)
-                out.append(pd.DataFrame({"class": key, "has_train": train, "has_eval": held, "band": np.arange(BANDS, dtype=np.int32), "bucket": bucket.astype(np.int64)}))
-            yield pd.concat(out) if out else pd.DataFrame(columns=["class", "has_train", "has_eval", "band", "bucket"])
+                # the least value stands for its shingle: no two shingles share a value
+                least = np.minimum.reduceat(-np.log(u) / rate, starts).view(np.uint64)
+                band = bucket[:, k // ROWS]
+                band = (band ^ least) * np.uint64(0x9E3779B97F4A7C15)
+                bucket[:, k // ROWS] = band ^ (band >> np.uint64(29))
+            each = {c: np.repeat(batch[c].to_numpy(), BANDS) for c in ("class", "has_train", "has_eval")}
+            yield pd.DataFrame(each | {"band": np.tile(np.arange(BANDS, dtype=np.int32), len(own)), "bucket": bucket.astype(np.int64).ravel()})
 
     classes = written(classes, "classes")
     signed = classes.mapInPandas(sign, "class string, has_train boolean, has_eval boolean, band int, bucket long")
@@ -200,7 +211,7 @@ def overlaps(questions: DataFrame) -> DataFrame:
     )
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = lambda w: bool(idf.value[1][int(hashes(["=" + w])[0] & np.uint64(BUCKETS - 1))])
+        common = lambda w: bool(idf.value[1][_word_at([w])[0]])
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
