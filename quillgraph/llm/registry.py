@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("splitting", "encoding", "leakage", "crosssplit", "lookalikes", "pairs", "grouping")
+MODULES = ("splitting", "encoding", "leakage", "crosssplit", "lookalikes", "pairs", "grouping", "packing")
 
 
 def _gather(attribute: str) -> dict:
