@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.crosssplit import hashes
-from quillgraph.llm.lookalikes import FOREIGN, LATIN
+from quillgraph.llm.lookalikes import FOREIGN, IS_IGNORABLE, LATIN
 from quillgraph.llm.text import TO_SIMPLIFIED
 from quillgraph.plans import written
 from quillgraph.sources import table
@@ -68,7 +69,7 @@ def folded(text: str) -> str:
     """Without citations and invisible characters, one width, case and style."""
     t = unicodedata.normalize("NFKC", CITATION.sub(" ", text)).translate(TO_SIMPLIFIED)
     if not t.isascii():
-        t = "".join(c for c in t if unicodedata.category(c) != "Cf")
+        t = IS_IGNORABLE.sub("", t)
         t = MIXED.sub(lambda m: m.group().translate(TO_LATIN), t)
     return t.lower()
 
@@ -124,6 +125,13 @@ def is_copy(answer: str, question: str) -> bool:
     return new <= max(1, 0.06 * len(own)) and back <= max(1, 0.06 * len(q)) and own[-2:] == q[-2:]
 
 
+@lru_cache(maxsize=50_000)
+def asked_for(question: str) -> tuple[str, list[str], str | None]:
+    """A question folded, its tokens and the language that it wants."""
+    q = folded(question)
+    return q, tokens(q), wanted_language(q)
+
+
 def wanted_language(question: str) -> str | None:
     for lang, asks in ASKS:
         if asks.search(question):
@@ -216,27 +224,30 @@ def count_endings(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def is_truncated(text: str, gold: str | None, cut: bool, counts: np.ndarray) -> bool:
-    """Whether a text breaks off. gold: a value that completes an answer; cut: the result says it ran out of room."""
-    bare = "".join(c for c in text if unicodedata.category(c) != "Cf").rstrip()
+def completeness(text: str, gold: str | None, counts: np.ndarray) -> float:
+    """How sure the end of a text is an end: 1 for a stop, a value or a citation, else the share of stops after such ends.
+
+    gold: a value that completes an answer.
+    """
+    bare = IS_IGNORABLE.sub("", text).rstrip()
     end = tail(text)
     if not end or end[-1] in STOPS or end[-1] in CLOSERS:
-        return False
+        return 1.0
     if unicodedata.category(end[-1])[0] == "P":
-        return True
+        return 0.0
     if len(end) < len(bare):  # a citation or an emoji closes it
-        return False
+        return 1.0
     t = folded(end).strip()
     if gold and t.endswith(folded(gold).strip()):
-        return False
+        return 1.0
     own = numbered(t)
     h = hashes(own) if own else np.zeros(0, np.uint64)
     for k in SPANS:
         if len(own) >= k:
             at = int(span_hashes(h[-k:], k)[-1])
             if counts[0, at] >= SEEN:
-                return bool(counts[1, at] < (COMPLETE_IF_CUT if cut else COMPLETE) * counts[0, at])
-    return True
+                return float(counts[1, at] / counts[0, at])
+    return 0.0
 
 
 def templates(openings: DataFrame) -> DataFrame:
@@ -246,7 +257,7 @@ def templates(openings: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("refused"), 1).otherwise(0)).alias("yes"),
         F.count("refused").alias("known"),
     )
-    classes = written(classes, "openings")
+    classes = written(classes.withColumn("key", F.xxhash64("opening")), "openings")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -261,12 +272,13 @@ def templates(openings: DataFrame) -> DataFrame:
                 mixed = (h ^ (h >> np.uint64(31))) * seed
                 mixed ^= mixed >> np.uint64(32)
                 bucket[:, k // ROWS] = (bucket[:, k // ROWS] ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            yield pd.DataFrame({"opening": np.repeat(batch["opening"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(own)), "bucket": bucket.astype(np.int64).ravel()})
+            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(own)), "bucket": bucket.astype(np.int64).ravel()})
 
-    signed = classes.select("opening").mapInPandas(sign, "opening string, band int, bucket long")
+    signed = classes.select("key", "opening").mapInPandas(sign, "key long, band int, bucket long")
     # each member of a bucket is compared with the bucket's smallest opening: as many candidates as members
-    heads = signed.groupBy("band", "bucket").agg(F.min("opening").alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = signed.join(heads, ["band", "bucket"]).where("opening <> head").select("opening", "head").distinct()
+    heads = signed.groupBy("band", "bucket").agg(F.min("key").alias("head_key"), F.count("*").alias("n")).where("n > 1")
+    pairs = signed.join(heads, ["band", "bucket"]).where("key <> head_key").select("key", "head_key").distinct()
+    pairs = pairs.join(classes.select("key", "opening"), "key").join(classes.select(F.col("key").alias("head_key"), F.col("opening").alias("head")), "head_key")
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - 3, F.lit(0))), lambda i: F.substring(c, i + 1, F.lit(3))))
     common = F.size(F.array_intersect(grams(F.col("opening")), grams(F.col("head"))))
     union = F.size(F.array_union(grams(F.col("opening")), grams(F.col("head"))))
@@ -290,41 +302,47 @@ def defects(answers: DataFrame, questions: DataFrame, results: DataFrame) -> Dat
     asked = questions.select(F.col("id").alias("question_id"), "question", "gold_answer", "expect_refusal").dropDuplicates(["question_id"])
     # several rows of one result count as cut only if all known reasons say so
     ends = results.where("result_key is not null").groupBy("result_key").agg(F.min(F.col("finish_reason").isin("length", "max_tokens")).alias("cut"))
-    rows = answers.select("answer_id", "question_id", "text", "refused", "result_key").dropDuplicates(["answer_id", "text"])
-    rows = rows.join(asked, "question_id", "left").join(ends, "result_key", "left").drop("result_key")
+    rows = answers.select("answer_id", "question_id", "text", "refused", "result_key").join(asked, "question_id", "left")
     counts = answers.sparkSession.sparkContext.broadcast(count_endings(answers))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                question = folded(r.question) if r.question else ""
-                text = folded(r.text) if r.text else ""
-                q, defect, first = tokens(question), None, ""
+                question, q, wanted = asked_for(r.question) if r.question else ("", [], None)
+                defect, first, whole = None, "", 1.0
                 if is_empty(r.text):
                     defect = "empty"
-                elif question and is_copy(text, question):
+                elif question and is_copy(text := folded(r.text), question):
                     defect = "copied"
                 else:
+                    text = folded(r.text)
                     first = opening(text, q)
                     gold = r.gold_answer if isinstance(r.gold_answer, str) else None
-                    wanted = wanted_language(question) if question else None
                     own = language(text, q + (tokens(folded(gold)) if gold else [])) if wanted else None
                     if wanted and own and own != wanted:
                         defect = "wrong_language"
-                    elif is_truncated(r.text, gold, r.cut is True or r.cut == 1, counts.value):
-                        defect = "truncated"
+                    whole = completeness(r.text, gold, counts.value)
                 expected = None if r.expect_refusal is None else bool(r.expect_refusal)
-                out.append((r.answer_id, r.question_id, defect, first, expected, None if r.refused is None or pd.isna(r.refused) else bool(r.refused)))
-            yield pd.DataFrame(out, columns=["answer_id", "question_id", "defect", "opening", "expected", "refused"])
+                out.append((r.answer_id, r.question_id, r.result_key, defect, first, whole, expected, None if r.refused is None or pd.isna(r.refused) else bool(r.refused)))
+            yield pd.DataFrame(out, columns=["answer_id", "question_id", "result_key", "defect", "opening", "whole", "expected", "refused"])
 
-    checked = written(rows.mapInPandas(check, "answer_id string, question_id string, defect string, opening string, expected boolean, refused boolean"), "answers")
+    checked = written(rows.mapInPandas(check, "answer_id string, question_id string, result_key string, defect string, opening string, whole double, expected boolean, refused boolean"), "answers")
     refusals = templates(checked.select("opening", F.col("question_id").alias("question_key"), "refused"))
-    firm = F.col("defect").isin("empty", "copied")
     declines = F.col("template").isNotNull() & ~F.coalesce("expected", F.lit(False))
+    cut = F.col("template").isNull() & (F.col("whole") < F.when(F.coalesce("cut", F.lit(False)), COMPLETE_IF_CUT).otherwise(COMPLETE))
+    defect = (
+        F.when(F.col("defect").isin("empty", "copied"), F.col("defect"))
+        .when(declines, "refusal")
+        .when(F.col("defect").isNotNull(), F.col("defect"))
+        .when(cut, "truncated")
+    )
+    narrow = checked.select("answer_id", "result_key", "defect", "opening", "whole", "expected").where("defect is not null or whole < 1 or opening <> ''")
     return (
-        checked.join(refusals, "opening", "left")
-        .withColumn("defect", F.when(firm, F.col("defect")).when(declines, "refusal").when(F.col("template").isNotNull() & (F.col("defect") == "truncated"), None).otherwise(F.col("defect")))
+        narrow.join(refusals, "opening", "left")
+        .where("defect is not null or template is not null or whole < 1")
+        .join(ends, "result_key", "left")
+        .withColumn("defect", defect)
         .where("defect is not null")
         .groupBy("answer_id")
         .agg(F.min("defect").alias("defect"))
