@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("splitting", "encoding", "leakage", "crosssplit", "lookalikes", "pairs", "grouping", "packing")
+MODULES = ("names", "grouping", "crosssplit", "splitting", "lookalikes", "pairs", "packing", "leakage", "encoding")
 
 
 def _gather(attribute: str) -> dict:
