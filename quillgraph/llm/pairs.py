@@ -102,9 +102,15 @@ def opening(answer: str, question: list[str]) -> str:
     return " ".join(out)
 
 
+#: More letters than any label has.
+WORDY = re.compile(r"(?:[^\W\d_][^\n]{0,3}?){12}")
+
+
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
+    if WORDY.search(text):
+        return False
     left = LABEL.sub("", CITATION.sub(" ", unicodedata.normalize("NFKC", text).strip()))
     left = "".join(c for c in left if unicodedata.category(c) != "Cf").strip()
     return not LABEL.sub("", left + ":").strip(" :") or all(unicodedata.category(c)[0] in "PZC" or c in "-~" for c in left)
@@ -116,6 +122,8 @@ def is_copy(answer: str, question: str) -> bool:
     if len(q) < 3 or not own or len(own) < 0.8 * len(q):
         return False
     squeezed, asked = " ".join(own), " ".join(q)
+    if own[-2:] != q[-2:] and asked not in squeezed:
+        return False
     rest = squeezed.replace(asked, " ").split()
     if len(rest) < len(own):
         return len(rest) <= 2
@@ -229,6 +237,8 @@ def completeness(text: str, gold: str | None, counts: np.ndarray) -> float:
 
     gold: a value that completes an answer.
     """
+    if (seen := text.rstrip()) and seen[-1] in STOPS:
+        return 1.0
     bare = IS_IGNORABLE.sub("", text).rstrip()
     end = tail(text)
     if not end or end[-1] in STOPS or end[-1] in CLOSERS:
