@@ -33,7 +33,7 @@ from quillgraph.plans import written
 from quillgraph.sources import table
 
 #: Bands and rows of the MinHash of openings, and their least exact similarity (character triples).
-BANDS, ROWS, JACCARD = 16, 4, 0.8
+BANDS, ROWS, JACCARD = 10, 4, 0.8
 #: A refusal template stands with this many different questions, and this share of its known marks says refused.
 QUESTIONS, REFUSED = 4, 0.5
 #: Size of the hashed table of endings: the proven bound of what is collected and broadcast.
@@ -165,7 +165,7 @@ def language(text: str, known: list[str]) -> str | None:
 
 
 #: Lengths, in tokens, of the endings that are looked up.
-SPANS = (5, 3, 2, 1)
+SPANS = (3, 2, 1)
 STOP = re.compile(r"[。！？!?…■]+|\.(?=\s|$)")
 
 
