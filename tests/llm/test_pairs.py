@@ -1,6 +1,6 @@
 import pytest
 
-from quillgraph.llm.pairs import defects, folded, is_copy, is_empty, language, opening, tokens
+from quillgraph.llm.pairs import completeness, count_endings, defects, folded, is_copy, is_empty, language, opening, tokens
 
 TEXTS = ["", "  ​", "……", "[1]", "[2][3]", "答：", "-", "\n\n[4]", None, " ", "Answer:"]
 
@@ -57,3 +57,10 @@ def test_frame(spark):
     out = defects(*frames).collect()
     assert {r.answer_id: r.defect for r in out} == want and len(out) == len(want)
     assert defects(frames[0].limit(0), *frames[1:]).count() == 0
+
+
+def test_an_ending_of_five_words_decides(spark):
+    texts = ["eins zwei drei vier fünf."] * 4 + ["alpha beta drei vier fünf sechs."] * 36
+    counts = count_endings(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert completeness("eins zwei drei vier fünf", None, counts) == 1.0
+    assert completeness("alpha beta drei vier fünf", None, counts) == 0.0
