@@ -1,9 +1,9 @@
 """Problem 6: defective answers to questions, one defect each.
 
 1. Openings: the first sentence of an answer, with everything masked that it shares with its question. Openings that say
-   the same to unrelated questions carry no answer. Equal masked openings form classes; classes are clustered by MinHash
-   with banded buckets, every candidate verified by its exact Jaccard similarity; a cluster's questions and witnesses are
-   added up. A cluster that recurs over enough questions and whose answers are mostly marked as refused is a refusal
+   the same to unrelated questions carry no answer. Equal masked openings form classes; classes meet under
+   their rarest character triples (prefix filter, which loses no pair), every candidate is verified by its exact Jaccard
+   similarity, and clusters are the connected components; a cluster's questions and witnesses are added up. A cluster that recurs over enough questions and whose answers are mostly marked as refused is a refusal
    template (single marks are unreliable, their majority is not).
 2. Copies, languages and endings are checked per pair. The ending check uses statistics of all answers: how often the
    last characters are followed by a stop rather than by more text; `finish_reason` only lowers the bar.
@@ -18,8 +18,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,13 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.crosssplit import hashes
+from quillgraph.llm.grouping import components
 from quillgraph.llm.lookalikes import FOREIGN, IS_IGNORABLE, LATIN
 from quillgraph.llm.text import TO_SIMPLIFIED
 from quillgraph.plans import written
 from quillgraph.sources import table
 
-#: Bands and rows of the MinHash of openings, and their least exact similarity (character triples).
-BANDS, ROWS, JACCARD = 16, 4, 0.8
+#: Least similarity of openings of one cluster (character triples).
+JACCARD = 0.8
+#: Size of the hashed counts of triples (as a power of two), and how many openings under one triple make a block.
+CELL_BITS, BLOCK = 20, 512
 #: A refusal template stands with this many different questions, and this share of its known marks says refused.
 QUESTIONS, REFUSED = 4, 0.5
 #: Size of the hashed table of endings: the proven bound of what is collected and broadcast.
@@ -260,40 +264,154 @@ def completeness(text: str, gold: str | None, counts: np.ndarray) -> float:
     return 0.0
 
 
+def grams(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and code of the distinct character triples of texts, ordered by both; a code is the three code points."""
+    padded = [t.ljust(3, "\0") for t in texts]
+    points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    rows = np.repeat(np.arange(len(padded)), [len(t) for t in padded])
+    inside = rows[:-2] == rows[2:]
+    codes = ((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[inside]
+    rows = rows[:-2][inside]
+    order = np.lexsort((codes, rows))
+    rows, codes = rows[order], codes[order]
+    first = np.ones(len(rows), bool)
+    first[1:] = (rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1])
+    return rows[first], codes[first]
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _cells(codes: np.ndarray) -> np.ndarray:
+    return (_mixed(codes) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def prefixes(texts: Iterable[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and whether it is in the short prefix, of the rarest triples of texts.
+
+    Two texts within the similarity share a triple of the short prefix of the one with fewer triples and the long prefix of
+    the other, if all texts order their triples alike, here by hashed count and code.
+    """
+    rows, codes = grams(texts)
+    order = np.lexsort((codes, counts[_cells(codes)], rows))
+    rows, codes = rows[order], codes[order]
+    size = np.bincount(rows)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    n = size[rows]
+    long = place <= n - np.ceil(JACCARD * n - 1e-9)
+    short = place <= n - np.ceil(2 * JACCARD / (1 + JACCARD) * n - 1e-9)
+    return rows[long], codes[long], short[long]
+
+
+def _counted(classes: DataFrame, cells_of: Callable[[Iterable[str]], np.ndarray]) -> np.ndarray:
+    """Hashed counts over all openings, of fixed size."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(cells_of(batch["opening"]), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at.astype(np.int32), "n": total[at]})
+
+    rows = classes.select("opening").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << CELL_BITS, np.int64)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _linked(keys: np.ndarray, short: np.ndarray, long: np.ndarray, texts: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the texts of one block whose similarity is high enough: a text and the smallest key that it reaches.
+
+    Only texts of `short` are compared with those of `long`.
+    """
+    rows, codes = grams(texts)
+    words, at = np.unique(codes, return_inverse=True)
+    size = np.bincount(rows)
+    held = np.zeros((len(texts), len(words)), np.float32)
+    held[rows, at] = 1
+    x, y = np.flatnonzero(short), np.flatnonzero(long)
+    common = (held[x] @ held[y].T).astype(np.float64)
+    a, b = np.nonzero(common >= JACCARD * (size[x][:, None] + size[y][None, :] - common) - 1e-9)
+    a, b = x[a], y[b]
+    a, b = a[keys[a] != keys[b]], b[keys[a] != keys[b]]
+    least = keys.copy()
+    while len(a):
+        before = least.copy()
+        np.minimum.at(least, a, before[b])
+        np.minimum.at(least, b, before[a])
+        if (least == before).all():
+            break
+    moved = least != keys
+    return list(zip(keys[moved].tolist(), least[moved].tolist(), strict=True))
+
+
+def links(classes: DataFrame, size: int = BLOCK) -> DataFrame:
+    """classes(key, opening) -> a, b: links over which all openings within the similarity are joined.
+
+    Prefix filter: openings meet under the triples of their prefixes, which no pair within the similarity escapes. An opening
+    is compared with the others under one triple in blocks of about `size`, and a block gives a link for each member, not
+    each pair.
+    """
+    context = classes.sparkSession.sparkContext
+    counts = context.broadcast(_counted(classes, lambda texts: _cells(grams(texts)[1])))
+    meetings = context.broadcast(_counted(classes, lambda texts: _cells(prefixes(texts, counts.value)[1])))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, opening = batch["key"].to_numpy(), batch["opening"].to_numpy()
+            rows, codes, short = prefixes(opening, counts.value)
+            met = meetings.value[_cells(codes)]
+            rows, codes, short = rows[met > 1], codes[met > 1], short[met > 1]
+            parts = -(-met[met > 1] // size)
+            own = (_mixed(key[rows]) >> np.uint64(33)).astype(np.int64) % parts
+            one = parts == 1
+            out = [(_mixed(codes[one]), rows[one], short[one], np.ones(one.sum(), bool))]
+            # block (s, l) of a triple compares part s of the short prefixes with part l of the long ones
+            for is_short in (True, False):
+                use = ~one & short if is_short else ~one
+                n = parts[use]
+                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                mine = np.repeat(own[use], n)
+                s, l = (mine, other) if is_short else (other, mine)
+                out.append((_mixed(np.repeat(codes[use], n)) ^ _mixed((s << 31) + l + 1), np.repeat(rows[use], n), np.full(len(mine), is_short), np.full(len(mine), not is_short)))
+            block, at, short, long = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pd.DataFrame({"block": block.astype(np.int64), "key": key[at], "short": short, "long": long, "opening": opening[at]})
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for batch in chain(batches, [None]):
+            rows = left if batch is None else batch if left is None else pd.concat([left, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            block = rows["block"].to_numpy()
+            ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(rows))
+            starts = np.append(0, ends[:-1])
+            if batch is not None:  # the last block may go on
+                left = rows.iloc[starts[-1] :]
+                starts, ends = starts[:-1], ends[:-1]
+            key, short, long, text = (rows[c].to_numpy() for c in ("key", "short", "long", "opening"))
+            found = [link for i, j in zip(starts, ends, strict=True) if j - i > 1 and short[i:j].any() for link in _linked(key[i:j], short[i:j], long[i:j], text[i:j])]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    blocks = classes.select("key", "opening").mapInPandas(spread, "block long, key long, short boolean, long boolean, opening string")
+    return blocks.repartition("block").sortWithinPartitions("block").mapInPandas(compare, "a long, b long").distinct()
+
+
 def templates(openings: DataFrame) -> DataFrame:
-    """openings(opening, question_key, refused) -> opening, template (smallest opening of its cluster) of the refusals."""
+    """openings(opening, question_key, refused) -> opening, template (key of one opening of its cluster) of the refusals."""
     classes = openings.where("opening <> ''").groupBy("opening").agg(
         F.approx_count_distinct("question_key").alias("questions"),
         F.sum(F.when(F.col("refused"), 1).otherwise(0)).alias("yes"),
         F.count("refused").alias("known"),
     )
     classes = written(classes.withColumn("key", F.xxhash64("opening")), "openings")
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-        for batch in batches:
-            own = [sorted(_triples(o)) for o in batch["opening"]]
-            if not own:
-                continue
-            h = hashes([s for x in own for s in x])
-            starts = np.cumsum([0] + [len(x) for x in own[:-1]])
-            bucket = np.zeros((len(own), BANDS), np.uint64)
-            for k, seed in enumerate(seeds):
-                mixed = (h ^ (h >> np.uint64(31))) * seed
-                mixed ^= mixed >> np.uint64(32)
-                bucket[:, k // ROWS] = (bucket[:, k // ROWS] ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
-            yield pd.DataFrame({"key": np.repeat(batch["key"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(own)), "bucket": bucket.astype(np.int64).ravel()})
-
-    signed = classes.select("key", "opening").mapInPandas(sign, "key long, band int, bucket long")
-    # each member of a bucket is compared with the bucket's smallest opening: as many candidates as members
-    heads = signed.groupBy("band", "bucket").agg(F.min("key").alias("head_key"), F.count("*").alias("n")).where("n > 1")
-    pairs = signed.join(heads, ["band", "bucket"]).where("key <> head_key").select("key", "head_key").distinct()
-    pairs = pairs.join(classes.select("key", "opening"), "key").join(classes.select(F.col("key").alias("head_key"), F.col("opening").alias("head")), "head_key")
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.length(c) - 3, F.lit(0))), lambda i: F.substring(c, i + 1, F.lit(3))))
-    common = F.size(F.array_intersect(grams(F.col("opening")), grams(F.col("head"))))
-    union = F.size(F.array_union(grams(F.col("opening")), grams(F.col("head"))))
-    near = pairs.where(common / union >= JACCARD).groupBy("opening").agg(F.min("head").alias("head"))
-    clustered = classes.join(near, "opening", "left").withColumn("template", F.coalesce("head", "opening"))
+    joined = components(written(links(classes), "links")).select(F.col("vertex").alias("key"), "component")
+    clustered = classes.join(joined, "key", "left").withColumn("template", F.coalesce("component", "key"))
     refusals = (
         clustered.groupBy("template")
         .agg(F.sum("questions").alias("questions"), F.sum("yes").alias("yes"), F.sum("known").alias("known"))
@@ -302,10 +420,6 @@ def templates(openings: DataFrame) -> DataFrame:
     return clustered.join(refusals.select("template"), "template").select("opening", "template")
 
 
-def _triples(text: str) -> set[str]:
-    return {text[k : k + 3] for k in range(len(text) - 2)} or {text}
-
-
 def defects(answers: DataFrame, questions: DataFrame, results: DataFrame) -> DataFrame:
     """answers(answer_id, question_id, text, refused, result_key), questions(id, question, gold_answer, expect_refusal),
     results(result_key, finish_reason) -> answer_id, defect."""

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from quillgraph.llm.pairs import completeness, count_endings, defects, folded, is_copy, is_empty, language, opening, tokens
+from quillgraph.llm.pairs import completeness, count_endings, defects, folded, is_copy, is_empty, language, links, opening, templates, tokens
 
 TEXTS = ["", "  ​", "……", "[1]", "[2][3]", "答：", "-", "\n\n[4]", None, " ", "Answer:"]
 
@@ -64,3 +66,35 @@ def test_an_ending_of_five_words_decides(spark):
     counts = count_endings(spark.createDataFrame([(t,) for t in texts], "text string"))
     assert completeness("eins zwei drei vier fünf", None, counts) == 1.0
     assert completeness("alpha beta drei vier fünf", None, counts) == 0.0
+
+
+def test_openings_at_the_threshold_meet(spark):
+    """Pairs at the least similarity: none of them is lost."""
+    draw, rows = random.Random(3), []
+    for k in range(1500):
+        own = [chr(0x4E00 + draw.randrange(20_000)) for _ in range(29)]
+        rows += [("".join(x), f"q{k}.{j}.{n}", True) for j, x in enumerate((own, [*own[:-3], "甲", "乙", "丙"])) for n in range(3)]
+    found = templates(spark.createDataFrame(rows, "opening string, question_key string, refused boolean"))
+    assert found.count() == 3000
+
+
+def test_variants_reach_their_template_over_others(spark):
+    """A chain of variants, of which only neighbours are near, is one template."""
+    draw = random.Random(5)
+    text, rows = [chr(0x4E00 + draw.randrange(20_000)) for _ in range(40)], []
+    for k in range(12):
+        rows.append(("".join(text), f"q{k}", True))
+        text = [*text[: 3 * k], "甲", *text[3 * k + 1 :]]
+    found = templates(spark.createDataFrame(rows, "opening string, question_key string, refused boolean")).collect()
+    assert len(found) == 12 and len({r.template for r in found}) == 1
+
+
+def test_blocks_lose_no_link(spark):
+    common = "".join(chr(0x4E00 + 7 * k) for k in range(60))
+    rows = [(k, common[:j] + chr(0x6E00 + k) + common[j:]) for k, j in enumerate([5, 20, 40] * 20)]
+    classes = spark.createDataFrame(rows, "key long, opening string")
+    for size in (4, 512):
+        reached, found = {0}, [(r.a, r.b) for r in links(classes, size).collect()]
+        while more := {x for ends in found if reached & set(ends) for x in ends} - reached:
+            reached |= more
+        assert reached == set(range(60)), size
