@@ -209,6 +209,12 @@ def find_paths(s, d):
     return G.find_paths(edges(s, d), pairs_to_explain(s, d), max_hops=3, limit=5)
 
 
+@query
+def find_paths_deep(s, d):
+    """As find_paths, to the depth and limit of the relation template: four hops, twelve paths."""
+    return G.find_paths(edges(s, d), pairs_to_explain(s, d), max_hops=4, limit=12)
+
+
 @query
 def relation_chain(s, d):
     chain = ["PARENT_OF", "COUSIN_OF", "UNCLE_OF", "PARTNER_OF", "FRIEND_OF", "LIKES", "SEALED_BY", "MEMBER_OF", "LEADER_OF"]
@@ -220,6 +226,12 @@ def neighborhood(s, d):
     return G.walk(edges(s, d), seeds(s, d), 2)
 
 
+@query
+def neighborhood_deep(s, d):
+    """As neighborhood, to the depth of the neighbourhood template: four hops."""
+    return G.walk(edges(s, d), seeds(s, d), 4)
+
+
 @query
 def list_by_relation(s, d):
     rows = table(s, d, "triples").where("relation in ('LEADER_OF', 'MEMBER_OF') and object is not null").select("relation", T.normal_name(F.col("object")).alias("target"), "subject").distinct()
