@@ -1,20 +1,20 @@
-"""Problem 8: held-out passages inside the corpus, by a positional inverted index.
+"""Problem 8: held-out passages inside the corpus, by a distributed positional inverted index.
 
 Texts become streams of folded letters and digits (no spaces, punctuation, mark-up or footnote numbers). A term is a
-window of the stream: `CJK_TERM` characters if it begins with a CJK character, `ALPHABETIC_TERM` otherwise. The index of
-the training side is sharded by document: a task builds the postings (term -> positions) of its documents for every
-term of the held-out side, so the index grows with the tasks and is never shuffled or collected. In each shard the
-held-out items pick, a few per stretch, the rarest of their terms that are present (rare among the items first, then in
-the shard); those lists are intersected with their offsets subtracted, so that a passage shows as weight on one diagonal,
-each hit weighing one by the number of items with its term. Every heavy diagonal is then matched with the whole postings
-of the region: exact phrases, and proximity (phrases on neighbouring diagonals, with small gaps) are joined into
-one passage, whose share of the item decides.
-
-The held-out side is split into slices of at most `SLICE` items, each broadcast on its own: the bound of the broadcast
-holds for any size, and a larger held-out set costs more passes.
-
-Edge cases: null and empty texts on either side give nothing; an item shorter than one term can't be found; repeated
-rows give one row; further columns are ignored.
+window of the stream: `CJK_TERM` characters if it begins with a CJK character, `ALPHABETIC_TERM` otherwise.
+
+1. The index of the corpus is a stored table of postings (term, document, position), partitioned and sorted by term. Only
+   terms that the held-out side may ask for get postings: a bit filter of fixed size (`FILTER` bits, built by an
+   aggregation) is the one thing that is broadcast, whatever the size of the held-out side; nothing is collected.
+2. Each held-out item takes, in stretches, the rarest few of its terms that are present: rare among the items first, then
+   in the corpus (counts over the whole index). Their postings are joined, offsets subtracted, so that a passage shows as
+   weight on one diagonal, each hit weighing one by the number of items with its term. Frequent terms are asked only
+   where a stretch has no rarer one; what remains of a hot term is split by the adaptive join.
+3. Every heavy diagonal is matched with all postings of its document: exact phrases, and proximity (phrases on
+   neighbouring diagonals, with small gaps), are joined into one passage, whose share of the item decides.
+
+Edge cases: null and empty texts on either side give nothing; an item shorter than one term can't be found; equal items
+are searched once; repeated rows give one row; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,26 +24,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.text import PLANE, codes, signal
+from quillgraph.plans import bounded_broadcast, written
 from quillgraph.sources import table
 
 CJK_TERM, ALPHABETIC_TERM = 4, 9
-#: Characters of text that one shard index holds at a time.
+#: Characters of text that are turned into terms at a time.
 SHARD = 1_000_000
+#: Bits of the filter of asked terms, a power of two, and of one row of it: the proven bound of the broadcast.
+FILTER, SLICE = 1 << 24, 1 << 15
 #: Terms of an item are taken in stretches of this many; of each the rarest few are looked up first.
 STRETCH, RAREST = 16, 4
 #: Terms of more items than this are looked up only for items that have no rarer ones in half of their stretches.
 RARE = 3
+#: Asked terms up to this number are broadcast to the index; beyond, the join shuffles on the term.
+SMALL = 500_000
 #: Width of a diagonal bucket; weight and hits on it that make a candidate (weight: share of what a whole passage has).
 WIDTH, HITS, WEIGHT = 64, 3, 0.12
 #: Share of the item that one continuous passage must cover.
 SHARE = 0.45
 #: Longest gap inside a passage, as characters of the item's stream.
 GAP = {True: 24, False: 60}
-SLICE = 20_000
 
 NOISE = re.compile(r"</?[A-Za-z][^<>]{0,40}>|\[\d{1,3}\]|&[a-z]{2,6};")
 
@@ -77,172 +81,160 @@ def term_hashes(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-class HeldOut:
-    """The held-out side of one slice: its terms and where they stand."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.terms, self.cjk, self.lengths = [], [], [], []
-        hashes, known = [], {}
-        for key, text in items:
-            s = stream(text)
-            h, lengths = term_hashes(s)
-            if np.count_nonzero(h) == 0:
-                continue
-            if (same := known.setdefault(s.tobytes(), len(hashes))) < len(hashes):
-                self.ids[same].append(key)
+def passage(own: np.ndarray, lengths: np.ndarray, cjk: bool, every: np.ndarray, diagonal: int) -> tuple[float, int]:
+    """Share of an item's terms `own` and characters covered by the best passage near a diagonal of a document's terms `every`."""
+    band = WIDTH + len(own) // 6
+    a, b = max(0, diagonal - band), min(len(every), diagonal + len(own) + band)
+    if b <= a:
+        return 0.0, 0
+    off, pos = np.nonzero((own[:, None] == every[None, a:b]) & (own != 0)[:, None])
+    near = np.abs(pos + a - off - diagonal) <= band
+    off, pos = off[near], pos[near]
+    if not len(off):
+        return 0.0, 0
+    # phrases: runs along one diagonal
+    d = pos - off
+    o = np.lexsort((off, d))
+    off, d = off[o], d[o]
+    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(off) != 1)) + 1
+    starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(off)]])
+    phrases = sorted((int(off[x]), int(off[y - 1] + lengths[off[y - 1]]), int(d[x])) for x, y in zip(starts, ends, strict=True))
+    return chain(phrases, len(own), GAP[cjk])
+
+
+def chain(phrases: list[tuple[int, int, int]], size: int, gap: int) -> tuple[float, int]:
+    """Best chain of phrases, ordered by their begin, that advance in both texts with gaps of at most `gap` on either side."""
+    best: list[int] = []
+    top, longest = 0, max((b - a for a, b, _ in phrases), default=0)
+    for k, (a, b, d) in enumerate(phrases):
+        score = b - a
+        for x in range(k - 1, -1, -1):
+            a2, b2, d2 = phrases[x]
+            if a - a2 > gap + longest:
+                break
+            if a - b2 > gap or a <= a2 or b <= b2:
                 continue
-            self.ids.append([key])
-            self.cjk.append(bool(signal()[1][s].mean() > 0.5))
-            self.lengths.append(lengths)
-            hashes.append(h)
-        each = [np.unique(h[h > 0]) for h in hashes]
-        self.known, spread = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.mask = np.uint64((1 << max(16, min(24, len(self.known).bit_length() + 5))) - 1)
-        self.bitmap = np.zeros(int(self.mask) + 1, bool)
-        self.bitmap[(self.known >> np.uint64(20)) & self.mask] = True
-        rows: list[np.ndarray] = []
-        self.whole = np.zeros(len(hashes))
-        for i, h in enumerate(hashes):
-            t = np.searchsorted(self.known, h).astype(np.int64)
-            t[h == 0] = -1
-            self.terms.append(t)
-            padded = np.full(-(-len(t) // STRETCH) * STRETCH, -1, np.int64)
-            padded[: len(t)] = t
-            own = padded.reshape(-1, STRETCH)
-            rare = (own >= 0) & (spread[own] <= RARE)
-            if rare.any(axis=1).mean() >= 0.5:
-                own = np.where(rare, own, -1)
-            weights = np.sort(np.where(own >= 0, 1.0 / spread[own], 0.0), axis=1)[:, -RAREST:]
-            self.whole[i] = weights.sum()
-            rows.extend(np.concatenate([[i, k * STRETCH], x]) for k, x in enumerate(own) if (x >= 0).any())
-        self.spread = spread
-        self.stretches = np.array(rows, np.int64).reshape(-1, STRETCH + 2)
-
-    def find(self, texts: list[str]) -> list[tuple[int, int, float, int]]:
-        """(text's index, item id, share covered, characters covered) of the passages in one shard of texts."""
-        streams = [stream(t) for t in texts]
-        sizes = np.array([len(s) for s in streams])
-        if not len(self.known) or sizes.sum() == 0:
-            return []
-        s = np.concatenate(streams)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        h, lengths = term_hashes(s)
-        at = np.flatnonzero(self.bitmap[(h >> np.uint64(20)) & self.mask] & (h > 0))
-        t = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
-        last = np.minimum(at + lengths[at] - 1, len(s) - 1)
-        real = (self.known[t] == h[at]) & (owner[at] == owner[last])
-        at, t = at[real], t[real]
-        order = np.argsort(t, kind="stable")
-        postings, counts = at[order], np.bincount(t, minlength=len(self.known))
-        first = np.cumsum(counts) - counts
-        # the rarest terms that are present, of each stretch
-        own = self.stretches[:, 2:]
-        most = np.iinfo(np.int64).max
-        rarity = np.where((own >= 0) & (counts[own] > 0), (self.spread[own] << 40) + counts[own], most)
-        pick = np.argpartition(rarity, RAREST - 1, axis=1)[:, :RAREST]
-        chosen = np.take_along_axis(own, pick, 1).ravel()
-        item = np.repeat(self.stretches[:, 0], RAREST)
-        offset = (self.stretches[:, 1:2] + pick).ravel()
-        present = np.take_along_axis(rarity, pick, 1).ravel() < most
-        chosen, item, offset = chosen[present], item[present], offset[present]
-        # their postings, offsets subtracted
-        n = counts[chosen]
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = postings[np.repeat(first[chosen], n) + within]
-        item, offset, weight = np.repeat(item, n), np.repeat(offset, n), np.repeat(1.0 / self.spread[chosen], n)
-        diagonal, text = place - offset + len(s), owner[place]
-        candidates: dict[tuple[int, int], list[int]] = {}
-        for shift in (0, WIDTH // 2):
-            key = (item * len(texts) + text) * (1 << 34) + (diagonal + shift) // WIDTH
-            keys, back, hits = np.unique(key, return_inverse=True, return_counts=True)
-            heavy = np.bincount(back, weights=weight, minlength=len(keys)) >= WEIGHT * self.whole[keys // (len(texts) << 34)]
-            for k in keys[(hits >= HITS) & heavy]:
-                pair, bucket = divmod(int(k), 1 << 34)
-                candidates.setdefault(divmod(pair, len(texts)), []).append(bucket * WIDTH - shift + WIDTH // 2 - len(s))
-        every = np.full(len(s), -2, np.int64)
-        every[at] = t
-        begin = np.cumsum(sizes) - sizes
-        found = []
-        for (i, j), diagonals in candidates.items():
-            share, covered = max(self.passage(i, every, int(begin[j]), int(begin[j] + sizes[j]), d) for d in set(diagonals))
-            if share >= SHARE:
-                found.extend((j, key, share, covered) for key in self.ids[i])
-        return found
-
-    def passage(self, i: int, every: np.ndarray, low: int, high: int, diagonal: int) -> tuple[float, int]:
-        """Share of item i and characters covered by the best passage near a diagonal of the shard's stream."""
-        own = self.terms[i]
-        band = WIDTH + len(own) // 6
-        a, b = max(low, diagonal - band), min(high, diagonal + len(own) + band)
-        if b <= a:
-            return 0.0, 0
-        off, pos = np.nonzero(own[:, None] == every[None, a:b])
-        near = np.abs(pos + a - off - diagonal) <= band
-        off, pos = off[near], pos[near]
-        if not len(off):
-            return 0.0, 0
-        # phrases: runs along one diagonal; only those of two terms or more count
-        d = pos - off
-        o = np.lexsort((off, d))
-        off, d = off[o], d[o]
-        cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(off) != 1)) + 1
-        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(off)]])
-        phrases = sorted((int(off[x]), int(off[y - 1] + self.lengths[i][off[y - 1]]), int(d[x])) for x, y in zip(starts, ends, strict=True))
-        return self.chain(phrases, len(own), GAP[self.cjk[i]])
-
-    @staticmethod
-    def chain(phrases: list[tuple[int, int, int]], size: int, gap: int) -> tuple[float, int]:
-        """Best chain of phrases that advance in both texts with gaps of at most `gap` on either side."""
-        best: list[int] = []
-        top = 0
-        for k, (a, b, d) in enumerate(phrases):
-            score = b - a
-            for x in range(k - 1, max(-1, k - 60), -1):
-                a2, b2, d2 = phrases[x]
-                if a - b2 > gap or a <= a2 or b <= b2:
+            skipped = (a + d) - (b2 + d2)
+            if -(b2 - a2) < skipped <= gap and abs(d - d2) <= gap:
+                score = max(score, best[x] + b - max(a, b2))
+        best.append(score)
+        top = max(top, score)
+    return top / size, top
+
+
+def item_terms(items: DataFrame) -> DataFrame:
+    """items(item, text) -> item, terms (0 where none begins), lengths, cjk: one row per item with a term."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                s = stream(text)
+                h, lengths = term_hashes(s)
+                if np.count_nonzero(h):
+                    rows.append((item, h.view(np.int64), lengths.astype(np.int32), bool(signal()[1][s].mean() > 0.5)))
+            yield pd.DataFrame(rows, columns=["item", "terms", "lengths", "cjk"])
+
+    return items.select("item", "text").mapInPandas(run, "item long, terms array<long>, lengths array<int>, cjk boolean")
+
+
+def asked_filter(terms: DataFrame) -> np.ndarray:
+    """terms(term) -> the bits of the terms, eight to a byte."""
+    at = F.expr(f"shiftrightunsigned(term, 20) & {FILTER - 1}")
+    rows = terms.select(at.alias("at")).groupBy(F.expr(f"at div {SLICE}").cast("int").alias("slice")).agg(F.expr(f"bitmap_construct_agg(at % {SLICE})").alias("bits")).collect()
+    out = np.zeros(FILTER // 8, np.uint8)
+    for r in rows:
+        own = np.frombuffer(bytes(r.bits), np.uint8)[: SLICE // 8]
+        out[r.slice * (SLICE // 8) : r.slice * (SLICE // 8) + len(own)] = own
+    return out
+
+
+def postings(corpus: DataFrame, bits: np.ndarray) -> DataFrame:
+    """corpus(doc_id, text) -> term, doc_id, row (tells texts of one doc_id apart), pos, for the terms of the filter."""
+    shared = corpus.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
+        for batch in batches:
+            sizes = batch["text"].str.len().to_numpy()
+            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD)) + 1):
+                streams = [stream(t) for t in batch["text"].iloc[part]]
+                n = np.array([len(s) for s in streams], np.int64)
+                if not n.sum():
                     continue
-                skipped = (a + d) - (b2 + d2)
-                if -(b2 - a2) < skipped <= gap and abs(d - d2) <= gap:
-                    score = max(score, best[x] + b - max(a, b2))
-            best.append(score)
-            top = max(top, score)
-        return top / size, top
+                s, owner = np.concatenate(streams), np.repeat(np.arange(len(part)), n)
+                h, lengths = term_hashes(s)
+                at = ((h >> np.uint64(20)) & np.uint64(FILTER - 1)).astype(np.int64)
+                hit = np.flatnonzero(((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (h > 0))
+                hit = hit[owner[hit] == owner[np.minimum(hit + lengths[hit] - 1, len(s) - 1)]]
+                hit = hit[hit + lengths[hit] <= len(s)]
+                doc = part[owner[hit]]
+                begin = np.cumsum(n) - n
+                yield pd.DataFrame({
+                    "term": h[hit].view(np.int64), "doc_id": batch["doc_id"].to_numpy()[doc], "row": batch["row"].to_numpy()[doc], "pos": (hit - begin[owner[hit]]).astype(np.int32),
+                })
+
+    rows = corpus.where((F.length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return rows.mapInPandas(run, "term long, doc_id long, row long, pos int")
+
+
+def asked(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """terms(item, term, off), counts(term, n) of the index -> item, term, off, weight, whole: the rarest terms present.
+
+    `whole` is the weight of a passage that holds the whole item.
+    """
+    spread = terms.groupBy("term").agg(F.countDistinct("item").alias("spread"))
+    rows = terms.join(spread, "term").withColumn("stretch", F.expr(f"off div {STRETCH}"))
+    by_stretch = Window.partitionBy("item", "stretch")
+    rows = rows.withColumn("rare", F.min("spread").over(by_stretch) <= RARE)
+    per = rows.groupBy("item").agg((F.countDistinct(F.when(F.col("rare"), F.col("stretch"))) / F.countDistinct("stretch")).alias("share"))
+    rows = rows.join(per, "item").where((F.col("share") < 0.5) | (F.col("spread") <= RARE))
+    best = F.row_number().over(by_stretch.orderBy("spread", "off"))
+    whole = rows.withColumn("n", best).where(F.col("n") <= RAREST).groupBy("item").agg(F.sum(1.0 / F.col("spread")).alias("whole"))
+    present = rows.join(counts, "term")
+    picked = present.withColumn("n", F.row_number().over(by_stretch.orderBy("spread", F.col("n"), "off"))).where(F.col("n") <= RAREST)
+    return picked.join(whole, "item").select("item", "term", "off", (1.0 / F.col("spread")).alias("weight"), "whole")
 
 
 def leaked(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """corpus(doc_id, text) x items(item_id, text) -> doc_id, item_id, share, characters of every leaked passage."""
-    spark = corpus.sparkSession
-    schema = "doc_id long, item_id long, share double, characters int"
-    items = items.where(F.length("text") > 0).select("item_id", "text")
-    slices = max(1, -(-items.count() // SLICE))
-    parts = []
-    for k in range(slices):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else items
-        shared = spark.sparkContext.broadcast(HeldOut([tuple(r) for r in own.distinct().collect()]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keys, texts, size, rows = [], [], 0, []
-
-                def flush() -> None:
-                    rows.extend((keys[j], i, share, n) for j, i, share, n in shared.value.find(texts))
-                    keys.clear(), texts.clear()
-
-                for key, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    keys.append(key)
-                    texts.append(text)
-                    size += len(text)
-                    if size >= SHARD:
-                        flush()
-                        size = 0
-                flush()
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share", "characters"])
-
-        parts.append(corpus.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(run, schema))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), F.max("characters").alias("characters"))
+    items = items.where(F.length("text") > 0).select("item_id", "text").where("item_id is not null").distinct()
+    members = items.select("item_id", F.min("item_id").over(Window.partitionBy("text")).alias("item"), "text")
+    members = written(members, "items")
+    whole = written(item_terms(members.where("item_id = item")), "item-terms")
+    terms = whole.select("item", F.posexplode("terms").alias("off", "term")).where("term <> 0")
+    index = written(postings(corpus, asked_filter(terms)).repartition("term").sortWithinPartitions("term"), "postings")
+    counts = index.groupBy("term").agg(F.count("*").alias("n"))
+    picks = written(asked(terms, counts), "asked")
+    key = ["item", "doc_id", "row"]
+    hits = index.join(bounded_broadcast(picks, SMALL), "term").select(*key, (F.col("pos") - F.col("off")).alias("diagonal"), "weight", "whole")
+    shifted = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(WIDTH // 2))))
+    bucket = F.floor((F.col("diagonal") + F.col("shift")) / WIDTH)
+    heavy = (
+        shifted.groupBy(*key, "shift", bucket.alias("bucket"))
+        .agg(F.count("*").alias("hits"), F.sum("weight").alias("weight"), F.max("whole").alias("whole"))
+        .where((F.col("hits") >= HITS) & (F.col("weight") >= WEIGHT * F.col("whole")))
+    )
+    center = (F.col("bucket") * WIDTH - F.col("shift") + WIDTH // 2).cast("int")
+    candidates = written(heavy.groupBy(*key).agg(F.collect_set(center).alias("diagonals")), "candidates")
+    documents = index.join(candidates.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
+    documents = documents.groupBy("doc_id", "row").agg(F.collect_list("term").alias("held"), F.collect_list("pos").alias("at"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                every = np.zeros(int(max(r.at)) + 1, np.int64)
+                every[np.asarray(r.at)] = r.held
+                own, lengths = np.asarray(r.terms), np.asarray(r.lengths)
+                share, covered = max(passage(own, lengths, r.cjk, every, int(d)) for d in r.diagonals)
+                if share >= SHARE:
+                    out.append((r.doc_id, r.item, share, covered))
+            yield pd.DataFrame(out, columns=["doc_id", "item", "share", "characters"])
+
+    found = candidates.join(documents, ["doc_id", "row"]).join(whole, "item").mapInPandas(verify, "doc_id long, item long, share double, characters int")
+    found = found.groupBy("doc_id", "item").agg(F.max("share").alias("share"), F.max("characters").alias("characters"))
+    return found.join(members.select("item", "item_id"), "item").select("doc_id", "item_id", "share", "characters")
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

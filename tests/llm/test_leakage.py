@@ -3,7 +3,7 @@ import random
 import pytest
 
 from quillgraph.llm import leakage
-from quillgraph.llm.leakage import HeldOut, leaked, stream
+from quillgraph.llm.leakage import chain, leaked, stream
 
 
 def sentence(r, zh):
@@ -30,9 +30,9 @@ def noisy(r, text):
     return "".join(out)
 
 
-def test_passages_are_found(items):
+def test_passages_are_found(spark, items):
     r = random.Random(2)
-    side, texts, want = HeldOut(items), [], set()
+    texts, want = [], set()
     for k, text in items:
         zh = k % 2 == 0
         texts.append(passage(r, zh) + text + passage(r, zh))
@@ -42,7 +42,25 @@ def test_passages_are_found(items):
         want.add((len(texts) - 1, k))
         texts.append(passage(r, zh) + text[: len(text) // 5] + passage(r, zh))
         texts.append(passage(r, zh, 12))
-    assert {(j, k) for j, k, *_ in side.find(texts)} == want
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    held = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in leaked(corpus, held).collect()} == want
+
+
+def test_chain_looks_back_over_all_phrases():
+    # a hundred short phrases inside the reach of a long one
+    phrases = sorted([(0, 500, 0)] + [(480 + k // 10, 482 + k // 10, 90 + k) for k in range(100)] + [(505, 600, 0)])
+    assert chain(phrases, 600, 24) == (595 / 600, 595)
+
+
+def test_hot_term(spark, items):
+    # a sentence of every item stands in a third of all documents
+    r = random.Random(5)
+    hot = sentence(r, True)
+    held = [(k, t + hot) for k, t in items]
+    docs = [(k, t + hot) for k, t in items] + [(100 + k, passage(r, True) + (hot if k % 3 == 0 else "")) for k in range(300)]
+    found = leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(held, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in found.collect()} == {(k, k) for k, _ in items}
 
 
 def test_folding():
@@ -58,9 +76,9 @@ def test_frame(spark, items):
     assert leaked(corpus, held.limit(0)).count() == 0
 
 
-def test_slices_give_the_same(spark, items, monkeypatch):
+def test_a_full_filter_gives_the_same(spark, items, monkeypatch):
     corpus = spark.createDataFrame([(k, t) for k, t in items], "doc_id long, text string")
     held = spark.createDataFrame(items, "item_id long, text string")
-    whole = {(r.doc_id, r.item_id) for r in leaked(corpus, held).collect()}
-    monkeypatch.setattr(leakage, "SLICE", 7)
-    assert {(r.doc_id, r.item_id) for r in leaked(corpus, held).collect()} == whole == {(k, k) for k, _ in items}
+    monkeypatch.setattr(leakage, "FILTER", 1 << 15)
+    monkeypatch.setattr(leakage, "SMALL", 0)
+    assert {(r.doc_id, r.item_id) for r in leaked(corpus, held).collect()} == {(k, k) for k, _ in items}
