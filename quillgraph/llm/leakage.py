@@ -3,14 +3,16 @@
 Texts become streams of folded letters and digits (no spaces, punctuation, mark-up or footnote numbers). A term is a
 window of the stream: `CJK_TERM` characters if it begins with a CJK character, `ALPHABETIC_TERM` otherwise.
 
-1. The index of the corpus is a stored table of postings (term, document, position), partitioned and sorted by term. Only
-   terms that the held-out side may ask for get postings: a bit filter of fixed size (`FILTER` bits, built by an
-   aggregation) is the one thing that is broadcast, whatever the size of the held-out side; nothing is collected.
-2. Each held-out item takes, in stretches, the rarest few of its terms that are present: rare among the items first, then
-   in the corpus (counts over the whole index). Their postings are joined, offsets subtracted, so that a passage shows as
-   weight on one diagonal, each hit weighing one by the number of items with its term. Frequent terms are asked only
-   where a stretch has no rarer one; what remains of a hot term is split by the adaptive join.
-3. Every heavy diagonal is matched with all postings of its document: exact phrases, and proximity (phrases on
+1. Each held-out item may ask, in stretches, for those of its terms that few items share (for all, if most of its
+   stretches have no such term).
+2. The index of the corpus is a stored table of postings (term, document, position), partitioned and sorted by term. Only
+   terms that may be asked for get postings: a bit filter of fixed size (`FILTER` bits, built by an aggregation) is the
+   one thing that is broadcast, whatever the size of the held-out side; nothing is collected.
+3. In each stretch an item takes the rarest few of its terms that are present: rare among the items first, then in the
+   corpus (counts over the whole index). Their postings are joined, offsets subtracted, so that a passage shows as weight
+   on one diagonal, each hit weighing one by the number of items with its term. What remains of a hot term is split by
+   the adaptive join.
+4. Every heavy diagonal is matched with all terms of its document: exact phrases, and proximity (phrases on
    neighbouring diagonals, with small gaps), are joined into one passage, whose share of the item decides.
 
 Edge cases: null and empty texts on either side give nothing; an item shorter than one term can't be found; equal items
@@ -150,13 +152,13 @@ def asked_filter(terms: DataFrame) -> np.ndarray:
 
 
 def postings(corpus: DataFrame, bits: np.ndarray) -> DataFrame:
-    """corpus(doc_id, text) -> term, doc_id, row (tells texts of one doc_id apart), pos, for the terms of the filter."""
+    """corpus(key, text) -> term, key, pos, for the terms of the filter."""
     shared = corpus.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            sizes = batch["text"].str.len().to_numpy()
+            sizes, keys = batch["text"].str.len().to_numpy(), batch["key"].to_numpy()
             for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD)) + 1):
                 streams = [stream(t) for t in batch["text"].iloc[part]]
                 n = np.array([len(s) for s in streams], np.int64)
@@ -166,73 +168,69 @@ def postings(corpus: DataFrame, bits: np.ndarray) -> DataFrame:
                 h, lengths = term_hashes(s)
                 at = ((h >> np.uint64(20)) & np.uint64(FILTER - 1)).astype(np.int64)
                 hit = np.flatnonzero(((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (h > 0))
-                hit = hit[owner[hit] == owner[np.minimum(hit + lengths[hit] - 1, len(s) - 1)]]
                 hit = hit[hit + lengths[hit] <= len(s)]
-                doc = part[owner[hit]]
+                hit = hit[owner[hit] == owner[hit + lengths[hit] - 1]]
                 begin = np.cumsum(n) - n
-                yield pd.DataFrame({
-                    "term": h[hit].view(np.int64), "doc_id": batch["doc_id"].to_numpy()[doc], "row": batch["row"].to_numpy()[doc], "pos": (hit - begin[owner[hit]]).astype(np.int32),
-                })
+                yield pd.DataFrame({"term": h[hit].view(np.int64), "key": keys[part[owner[hit]]], "pos": (hit - begin[owner[hit]]).astype(np.int32)})
 
-    rows = corpus.where((F.length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return rows.mapInPandas(run, "term long, doc_id long, row long, pos int")
+    return corpus.select("key", "text").mapInPandas(run, "term long, key long, pos int")
 
 
-def asked(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """terms(item, term, off), counts(term, n) of the index -> item, term, off, weight, whole: the rarest terms present.
+def askable(terms: DataFrame) -> DataFrame:
+    """terms(item, term, off) -> item, term, off, stretch, spread, whole: what an item may ask for.
 
-    `whole` is the weight of a passage that holds the whole item.
+    `spread` is the number of items with the term, `whole` the weight of a passage that holds the whole item.
     """
     spread = terms.groupBy("term").agg(F.countDistinct("item").alias("spread"))
     rows = terms.join(spread, "term").withColumn("stretch", F.expr(f"off div {STRETCH}"))
-    by_stretch = Window.partitionBy("item", "stretch")
-    rows = rows.withColumn("rare", F.min("spread").over(by_stretch) <= RARE)
-    per = rows.groupBy("item").agg((F.countDistinct(F.when(F.col("rare"), F.col("stretch"))) / F.countDistinct("stretch")).alias("share"))
+    rare = F.when(F.col("spread") <= RARE, F.col("stretch"))
+    per = rows.groupBy("item").agg((F.countDistinct(rare) / F.countDistinct("stretch")).alias("share"))
     rows = rows.join(per, "item").where((F.col("share") < 0.5) | (F.col("spread") <= RARE))
-    best = F.row_number().over(by_stretch.orderBy("spread", "off"))
+    best = F.row_number().over(Window.partitionBy("item", "stretch").orderBy("spread", "off"))
     whole = rows.withColumn("n", best).where(F.col("n") <= RAREST).groupBy("item").agg(F.sum(1.0 / F.col("spread")).alias("whole"))
-    present = rows.join(counts, "term")
-    picked = present.withColumn("n", F.row_number().over(by_stretch.orderBy("spread", F.col("n"), "off"))).where(F.col("n") <= RAREST)
-    return picked.join(whole, "item").select("item", "term", "off", (1.0 / F.col("spread")).alias("weight"), "whole")
+    return rows.join(whole, "item").select("item", "term", "off", "stretch", "spread", "whole")
+
+
+def asked(terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """terms as of `askable`, counts(term, n) of the index -> item, term, off, weight, whole: the rarest terms present."""
+    order = Window.partitionBy("item", "stretch").orderBy("spread", "n", "off")
+    picked = terms.join(counts, "term").withColumn("place", F.row_number().over(order)).where(F.col("place") <= RAREST)
+    return picked.select("item", "term", "off", (1.0 / F.col("spread")).alias("weight"), "whole")
 
 
 def leaked(corpus: DataFrame, items: DataFrame) -> DataFrame:
     """corpus(doc_id, text) x items(item_id, text) -> doc_id, item_id, share, characters of every leaked passage."""
-    items = items.where(F.length("text") > 0).select("item_id", "text").where("item_id is not null").distinct()
-    members = items.select("item_id", F.min("item_id").over(Window.partitionBy("text")).alias("item"), "text")
-    members = written(members, "items")
+    corpus = corpus.where((F.length("text") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
+    items = items.where((F.length("text") > 0) & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    members = written(items.select("item_id", F.min("item_id").over(Window.partitionBy("text")).alias("item"), "text"), "items")
     whole = written(item_terms(members.where("item_id = item")), "item-terms")
-    terms = whole.select("item", F.posexplode("terms").alias("off", "term")).where("term <> 0")
+    terms = written(askable(whole.select("item", F.posexplode("terms").alias("off", "term")).where("term <> 0")), "askable")
     index = written(postings(corpus, asked_filter(terms)).repartition("term").sortWithinPartitions("term"), "postings")
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    picks = written(asked(terms, counts), "asked")
-    key = ["item", "doc_id", "row"]
-    hits = index.join(bounded_broadcast(picks, SMALL), "term").select(*key, (F.col("pos") - F.col("off")).alias("diagonal"), "weight", "whole")
+    picks = written(asked(terms, index.groupBy("term").agg(F.count("*").alias("n"))), "asked")
+    hits = index.join(bounded_broadcast(picks, SMALL), "term").select("item", "key", (F.col("pos") - F.col("off")).alias("diagonal"), "weight", "whole")
     shifted = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(WIDTH // 2))))
     bucket = F.floor((F.col("diagonal") + F.col("shift")) / WIDTH)
     heavy = (
-        shifted.groupBy(*key, "shift", bucket.alias("bucket"))
+        shifted.groupBy("item", "key", "shift", bucket.alias("bucket"))
         .agg(F.count("*").alias("hits"), F.sum("weight").alias("weight"), F.max("whole").alias("whole"))
         .where((F.col("hits") >= HITS) & (F.col("weight") >= WEIGHT * F.col("whole")))
     )
     center = (F.col("bucket") * WIDTH - F.col("shift") + WIDTH // 2).cast("int")
-    candidates = written(heavy.groupBy(*key).agg(F.collect_set(center).alias("diagonals")), "candidates")
-    documents = index.join(candidates.select("doc_id", "row").distinct(), ["doc_id", "row"], "left_semi")
-    documents = documents.groupBy("doc_id", "row").agg(F.collect_list("term").alias("held"), F.collect_list("pos").alias("at"))
+    candidates = written(heavy.groupBy("item", "key").agg(F.collect_set(center).alias("diagonals")), "candidates")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                every = np.zeros(int(max(r.at)) + 1, np.int64)
-                every[np.asarray(r.at)] = r.held
+                every = term_hashes(stream(r.text))[0].view(np.int64)
                 own, lengths = np.asarray(r.terms), np.asarray(r.lengths)
                 share, covered = max(passage(own, lengths, r.cjk, every, int(d)) for d in r.diagonals)
                 if share >= SHARE:
                     out.append((r.doc_id, r.item, share, covered))
             yield pd.DataFrame(out, columns=["doc_id", "item", "share", "characters"])
 
-    found = candidates.join(documents, ["doc_id", "row"]).join(whole, "item").mapInPandas(verify, "doc_id long, item long, share double, characters int")
+    documents = corpus.join(bounded_broadcast(candidates.select("key").distinct(), SMALL), "key", "left_semi").dropDuplicates(["key"])
+    found = documents.join(candidates, "key").join(whole, "item").mapInPandas(verify, "doc_id long, item long, share double, characters int")
     found = found.groupBy("doc_id", "item").agg(F.max("share").alias("share"), F.max("characters").alias("characters"))
     return found.join(members.select("item", "item_id"), "item").select("doc_id", "item_id", "share", "characters")
 

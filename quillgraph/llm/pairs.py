@@ -54,6 +54,10 @@ LABEL = re.compile(r"^\s*(?:答案?|回答|答复|answer|a|réponse|antwort)\s*[
 ECHO = re.compile(r"^\s*(?:您?问的是|你问的是|问题是?|问|the question is|you asked|question|q|问题问的是)\s*[:：]?\s*", re.I)
 MIXED = re.compile(r"(?:[a-z][^\W\d_]*[\u0370-\u052f]|[\u0370-\u052f]+[a-z])[^\W\d_]*", re.I)
 TO_LATIN = str.maketrans(FOREIGN, LATIN)
+#: Cheap tests before dearer replacements.
+BRACKETS, FOREIGN_LETTER = re.compile(r"[\[［【]"), re.compile("[\u0370-\u052f]")
+OLD_STYLE = re.compile("[" + "".join(map(chr, TO_SIMPLIFIED)) + "]")
+MARKS = re.compile("[（(“\"„«《「『]")
 ASIDE = re.compile(r"[（(][^（()）]{0,120}[)）]")
 QUOTED = re.compile(r"[“\"„«《「『][^”\"“»》」』]{0,120}[”\"“»》」』]")
 SENTENCE_END = re.compile(r"[。！？!?\n]|\.(?=\s|$)")
@@ -71,10 +75,14 @@ FUNCTION = {
 
 def folded(text: str) -> str:
     """Without citations and invisible characters, one width, case and style."""
-    t = unicodedata.normalize("NFKC", CITATION.sub(" ", text)).translate(TO_SIMPLIFIED)
+    t = CITATION.sub(" ", text) if BRACKETS.search(text) else text
     if not t.isascii():
+        t = unicodedata.normalize("NFKC", t)
+        if OLD_STYLE.search(t):
+            t = t.translate(TO_SIMPLIFIED)
         t = IS_IGNORABLE.sub("", t)
-        t = MIXED.sub(lambda m: m.group().translate(TO_LATIN), t)
+        if FOREIGN_LETTER.search(t):
+            t = MIXED.sub(lambda m: m.group().translate(TO_LATIN), t)
     return t.lower()
 
 
@@ -120,10 +128,12 @@ def is_empty(text: str | None) -> bool:
     return not LABEL.sub("", left + ":").strip(" :") or all(unicodedata.category(c)[0] in "PZC" or c in "-~" for c in left)
 
 
-def is_copy(answer: str, question: str) -> bool:
-    """Whether a folded answer only repeats the folded question."""
-    q, own = tokens(question), tokens(ECHO.sub("", LABEL.sub("", answer)))
-    if len(q) < 3 or not own or len(own) < 0.8 * len(q):
+def is_copy(answer: str, q: list[str]) -> bool:
+    """Whether a folded answer only repeats the question, given by its tokens."""
+    if len(q) < 3:
+        return False
+    own = tokens(ECHO.sub("", LABEL.sub("", answer)))
+    if not own or len(own) < 0.8 * len(q):
         return False
     squeezed, asked = " ".join(own), " ".join(q)
     if own[-2:] != q[-2:] and asked not in squeezed:
@@ -138,10 +148,15 @@ def is_copy(answer: str, question: str) -> bool:
 
 
 @lru_cache(maxsize=50_000)
-def asked_for(question: str) -> tuple[str, list[str], str | None]:
-    """A question folded, its tokens and the language that it wants."""
+def value_tokens(gold: str | None) -> list[str]:
+    return tokens(folded(gold)) if gold else []
+
+
+@lru_cache(maxsize=50_000)
+def asked_for(question: str) -> tuple[list[str], str | None]:
+    """The tokens of a folded question and the language that it wants."""
     q = folded(question)
-    return q, tokens(q), wanted_language(q)
+    return tokens(q), wanted_language(q)
 
 
 def wanted_language(question: str) -> str | None:
@@ -153,16 +168,21 @@ def wanted_language(question: str) -> str | None:
 
 def language(text: str, known: list[str]) -> str | None:
     """The language of the running words of a text: without quotations and words of `known`."""
-    text = ASIDE.sub(" ", QUOTED.sub(" ", text))
+    if MARKS.search(text):
+        text = ASIDE.sub(" ", QUOTED.sub(" ", text))
     own = tokens(text)
     left = [w for w, hit in zip(own, shared(own, known), strict=True) if not hit] if known else own
-    cjk = [w for w in left if "㐀" <= w <= "鿿"]
-    kana = sum("぀" <= w <= "ヿ" for w in left)
-    if kana >= 3 and kana >= 0.2 * (kana + len(cjk)):
+    # a token beyond ASCII is one CJK character or a word
+    signs = [w for w in left if "぀" <= w[0] <= "鿿"]
+    kana = sum(w <= "ヿ" for w in signs) if signs else 0
+    cjk = sum(w >= "㐀" for w in signs) if signs else 0
+    if kana >= 3 and kana >= 0.2 * (kana + cjk):
         return "ja"
-    words = [w for w in left if w.isalpha() and not "぀" <= w[0] <= "鿿"]
-    if len(cjk) >= 3 and len(cjk) >= len(words):
+    words = [w for w in left if w.isalpha() and not "぀" <= w[0] <= "鿿"] if len(signs) < len(left) else []
+    if cjk >= 3 and cjk >= len(words):
         return "zh"
+    if len(words) < 3:
+        return None
     counts = {lang: sum(w in own_words for w in words) for lang, own_words in FUNCTION.items()}
     best = max(counts, key=lambda k: (counts[k], k == "en"))
     return best if counts[best] >= 2 and len(words) >= 3 else None
@@ -432,18 +452,17 @@ def defects(answers: DataFrame, questions: DataFrame, results: DataFrame) -> Dat
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for r in batch.itertuples(index=False):
-                question, q, wanted = asked_for(r.question) if r.question else ("", [], None)
+            for r in batch.itertuples(index=False, name="Pair"):
+                q, wanted = asked_for(r.question) if r.question else ([], None)
                 defect, first, whole = None, "", 1.0
                 if is_empty(r.text):
                     defect = "empty"
-                elif question and is_copy(text := folded(r.text), question):
+                elif is_copy(text := folded(r.text), q):
                     defect = "copied"
                 else:
-                    text = folded(r.text)
                     first = opening(text, q)
                     gold = r.gold_answer if isinstance(r.gold_answer, str) else None
-                    own = language(text, q + (tokens(folded(gold)) if gold else [])) if wanted else None
+                    own = language(text, q + value_tokens(gold)) if wanted else None
                     if wanted and own and own != wanted:
                         defect = "wrong_language"
                     whole = completeness(r.text, gold, counts.value)
