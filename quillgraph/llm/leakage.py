@@ -5,13 +5,13 @@ window of the stream: `CJK_TERM` characters if it begins with a CJK character, `
 
 1. Each held-out item may ask, in stretches, for those of its terms that few items share (for all, if most of its
    stretches have no such term).
-2. The index of the corpus is a stored table of postings (term, document, position), partitioned and sorted by term. Only
-   terms that may be asked for get postings: a bit filter of fixed size (`FILTER` bits, built by an aggregation) is the
-   one thing that is broadcast, whatever the size of the held-out side; nothing is collected.
-3. In each stretch an item takes the rarest few of its terms that are present: rare among the items first, then in the
-   corpus (counts over the whole index). Their postings are joined, offsets subtracted, so that a passage shows as weight
-   on one diagonal, each hit weighing one by the number of items with its term. What remains of a hot term is split by
-   the adaptive join.
+2. In each stretch an item takes the rarest few of its terms that are present: rare among the items first, then in the
+   corpus (counted over all documents, summed per task before the shuffle).
+3. The index of the corpus is a stored table of postings (term, document, position) of the terms asked for, partitioned and
+   sorted by term. A bit filter of fixed size (`FILTER` bits, built by an aggregation) is the one thing that is broadcast,
+   whatever the size of the held-out side; nothing is collected. Postings are joined with the items' terms, offsets
+   subtracted, so that a passage shows as weight on one diagonal, each hit weighing one by the number of items with its
+   term. What remains of a hot term is split by the adaptive join.
 4. Every heavy diagonal is matched with all terms of its document: exact phrases, and proximity (phrases on
    neighbouring diagonals, with small gaps), are joined into one passage, whose share of the item decides.
 
@@ -151,27 +151,45 @@ def asked_filter(terms: DataFrame) -> np.ndarray:
     return out
 
 
+def _hits(batch: pd.DataFrame, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(term, row of the batch, position) of the terms of a filter, for some texts at a time."""
+    sizes = batch["text"].str.len().to_numpy()
+    for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD)) + 1):
+        streams = [stream(t) for t in batch["text"].iloc[part]]
+        n = np.array([len(s) for s in streams], np.int64)
+        if not n.sum():
+            continue
+        s, owner = np.concatenate(streams), np.repeat(np.arange(len(part)), n)
+        h, lengths = term_hashes(s)
+        at = ((h >> np.uint64(20)) & np.uint64(FILTER - 1)).astype(np.int64)
+        hit = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (h > 0))
+        hit = hit[hit + lengths[hit] <= len(s)]
+        hit = hit[owner[hit] == owner[hit + lengths[hit] - 1]]
+        yield h[hit].view(np.int64), part[owner[hit]], hit - (np.cumsum(n) - n)[owner[hit]]
+
+
+def frequencies(corpus: DataFrame, bits: np.ndarray) -> DataFrame:
+    """corpus(text) -> term, n: how often each term of the filter stands in the corpus."""
+    shared = corpus.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, _, _ in _hits(batch, shared.value):
+                terms, n = np.unique(h, return_counts=True)
+                yield pd.DataFrame({"term": terms, "n": n})
+
+    return corpus.select("text").mapInPandas(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def postings(corpus: DataFrame, bits: np.ndarray) -> DataFrame:
     """corpus(key, text) -> term, key, pos, for the terms of the filter."""
     shared = corpus.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
         for batch in batches:
-            sizes, keys = batch["text"].str.len().to_numpy(), batch["key"].to_numpy()
-            for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(np.cumsum(sizes) // SHARD)) + 1):
-                streams = [stream(t) for t in batch["text"].iloc[part]]
-                n = np.array([len(s) for s in streams], np.int64)
-                if not n.sum():
-                    continue
-                s, owner = np.concatenate(streams), np.repeat(np.arange(len(part)), n)
-                h, lengths = term_hashes(s)
-                at = ((h >> np.uint64(20)) & np.uint64(FILTER - 1)).astype(np.int64)
-                hit = np.flatnonzero(((own[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (h > 0))
-                hit = hit[hit + lengths[hit] <= len(s)]
-                hit = hit[owner[hit] == owner[hit + lengths[hit] - 1]]
-                begin = np.cumsum(n) - n
-                yield pd.DataFrame({"term": h[hit].view(np.int64), "key": keys[part[owner[hit]]], "pos": (hit - begin[owner[hit]]).astype(np.int32)})
+            keys = batch["key"].to_numpy()
+            for h, row, pos in _hits(batch, shared.value):
+                yield pd.DataFrame({"term": h, "key": keys[row], "pos": pos.astype(np.int32)})
 
     return corpus.select("key", "text").mapInPandas(run, "term long, key long, pos int")
 
@@ -192,7 +210,7 @@ def askable(terms: DataFrame) -> DataFrame:
 
 
 def asked(terms: DataFrame, counts: DataFrame) -> DataFrame:
-    """terms as of `askable`, counts(term, n) of the index -> item, term, off, weight, whole: the rarest terms present."""
+    """terms as of `askable`, counts(term, n) of the corpus -> item, term, off, weight, whole: the rarest terms present."""
     order = Window.partitionBy("item", "stretch").orderBy("spread", "n", "off")
     picked = terms.join(counts, "term").withColumn("place", F.row_number().over(order)).where(F.col("place") <= RAREST)
     return picked.select("item", "term", "off", (1.0 / F.col("spread")).alias("weight"), "whole")
@@ -205,8 +223,8 @@ def leaked(corpus: DataFrame, items: DataFrame) -> DataFrame:
     members = written(items.select("item_id", F.min("item_id").over(Window.partitionBy("text")).alias("item"), "text"), "items")
     whole = written(item_terms(members.where("item_id = item")), "item-terms")
     terms = written(askable(whole.select("item", F.posexplode("terms").alias("off", "term")).where("term <> 0")), "askable")
-    index = written(postings(corpus, asked_filter(terms)).repartition("term").sortWithinPartitions("term"), "postings")
-    picks = written(asked(terms, index.groupBy("term").agg(F.count("*").alias("n"))), "asked")
+    picks = written(asked(terms, frequencies(corpus, asked_filter(terms))), "asked")
+    index = written(postings(corpus, asked_filter(picks)).repartition("term").sortWithinPartitions("term"), "postings")
     hits = index.join(bounded_broadcast(picks, SMALL), "term").select("item", "key", (F.col("pos") - F.col("off")).alias("diagonal"), "weight", "whole")
     shifted = hits.withColumn("shift", F.explode(F.array(F.lit(0), F.lit(WIDTH // 2))))
     bucket = F.floor((F.col("diagonal") + F.col("shift")) / WIDTH)
