@@ -161,7 +161,7 @@ def _hits(batch: pd.DataFrame, bits: np.ndarray) -> Iterator[tuple[np.ndarray, n
             continue
         s, owner = np.concatenate(streams), np.repeat(np.arange(len(part)), n)
         h, lengths = term_hashes(s)
-        at = ((h >> np.uint64(20)) & np.uint64(FILTER - 1)).astype(np.int64)
+        at = ((h >> np.uint64(20)) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
         hit = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool) & (h > 0))
         hit = hit[hit + lengths[hit] <= len(s)]
         hit = hit[owner[hit] == owner[hit + lengths[hit] - 1]]

@@ -1,13 +1,15 @@
 """Problem 5: text that looks regular but is written with other characters.
 
-Tokens with a character that can be a look-alike, an ignorable or an odd space are looked up in tries of the vocabulary
-(the regular words of the same tables). The lookup walks the trie with a weighted edit automaton: replacing a look-alike by
-what it looks like and dropping an ignorable cost nothing, any other edit ends the walk, so a token reaches exactly the
-spellings it can be taken for; the most frequent is canonical. Tokens without a match are normalised by table.
+Around every character that can be a look-alike, an ignorable or an odd space a unit is cut out: the word, or in Chinese text
+one character on either side. Units are looked up in tries of the vocabulary (the words, and pairs and triples of
+Chinese characters, of the rows without any candidate). The lookup walks the trie with a weighted edit automaton: replacing a look-alike
+by what it looks like and dropping an ignorable cost nothing, another case or accent costs one, any other edit ends the
+walk. The cheapest word, then the most frequent, is canonical; where the walk changed anything at no cost the unit is
+irregular, and what it paid for stays as it was written. Units without a match are judged and normalised by table.
 
-The vocabulary is cut into tries by the first letters of the words; tokens and words meet in a co-grouped task, so no trie
-is broadcast and only tries that some token needs are built. Rows without any candidate character (nearly all) leave in
-the scan stage by a regular expression.
+Units and words meet in shards by the hash of their skeleton (what all spellings at no more than those costs share), so that
+no shard grows with a frequent beginning, no trie is broadcast, and only words that some unit can reach are in a trie.
+Rows without any candidate character (nearly all) leave in the scan stage by a regular expression.
 
 A character is irregular if it is invisible (a joiner inside an emoji is not), a space other than U+0020 and U+3000, a
 detached accent, a full-width or otherwise styled letter or digit, another dot for the middle dot, a radical or
@@ -28,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.plans import written
 from quillgraph.sources import table
 
 #: Greek and Cyrillic letters and, at the same place, the Latin ones they look like.
@@ -54,7 +57,11 @@ CANDIDATE = f"[{IGNORABLE}{SPACES}{STYLED}{MARKS}{GREEK_CYRILLIC}{HIGH}{OTHER_DO
 TOKEN = re.compile(f"(?:[^\\W_]|[{IGNORABLE}{MARKS}{STYLED}{HIGH}]|(?<=\\w)[-’'.](?=\\w))+|[{SPACES}{OTHER_DOTS}]")
 IS_CANDIDATE = re.compile(CANDIDATE)
 IS_IGNORABLE = re.compile(f"[{IGNORABLE}]")
-WORD = "[A-Za-zÀ-ɏ]{2,}"
+WORD = "[A-Za-zÀ-ɏ0-9](?:[A-Za-zÀ-ɏ0-9]|[-’'.](?=[A-Za-zÀ-ɏ0-9]))+"
+HAN = "[\u3400-\u9fff]{2,}"
+IS_HAN = re.compile("[\u3400-\u9fff]")
+#: Most that a walk may pay for other cases and accents, and units of one shard.
+BUDGET, SHARD = 2, 20_000
 
 
 def _is_emoji(c: str) -> bool:
@@ -117,6 +124,27 @@ def plain_verdict(token: str) -> bool | None:
     return True if len(token) == 1 and "Ѐ" <= token else None
 
 
+def likeness(c: str) -> str:
+    """What a character looks like, itself if it is regular."""
+    if c in OTHER_DOTS:
+        return "·"
+    if unicodedata.category(c) == "Zs":
+        return " "
+    return c if c in UNIFIED or not IS_CANDIDATE.match(c) else TWIN.get(c) or unicodedata.normalize("NFKC", c)
+
+
+def skeleton(text: str) -> str:
+    """What a text shares with all that it can be taken for: without case, accents, ignorables."""
+    if text.isascii():
+        return text.lower()
+    plain = "".join(likeness(c) for c in text if not IS_IGNORABLE.match(c))
+    return "".join(c for c in unicodedata.normalize("NFD", plain.lower()) if not unicodedata.combining(c))
+
+
+def _base(c: str) -> str:
+    return unicodedata.normalize("NFD", c)[0].lower()
+
+
 class Trie:
     """Words with their frequencies, walked by an automaton with free look-alikes and ignorables."""
 
@@ -128,20 +156,24 @@ class Trie:
                 node = node.setdefault(c, {})
             node[""] = max(n, node.get("", 0))
 
-    def match(self, token: str) -> str | None:
-        """The most frequent word that the token can be taken for at no cost."""
-        states: list[tuple[dict, str]] = [(self.root, "")]
+    def match(self, token: str) -> tuple[str, str] | None:
+        """The word that a token can be taken for at the least cost (then the most frequent), and the token's regular form."""
+        states: list[tuple[int, dict, str, str]] = [(0, self.root, "", "")]
         for c in unicodedata.normalize("NFC", "".join(x for x in token if not IS_IGNORABLE.match(x))):
-            choices = {c, TWIN.get(c, c), unicodedata.normalize("NFKC", c)}
-            states = [(node[x], word + x) for node, word in states for x in choices if x in node]
+            like = likeness(c)
+            free, base = (c, like), _base(like)
+            grown = []
+            for cost, node, word, out in states:
+                for x, below in node.items():
+                    if x in free and x:
+                        grown.append((cost, below, word + x, out + x))
+                    elif x and cost < BUDGET and _base(x) == base:
+                        grown.append((cost + 1, below, word + x, out + by_table(c)))
+            states = grown
             if not states:
                 return None
-        ends = [(-node[""], word) for node, word in states if "" in node]
-        return min(ends)[1] if ends else None
-
-
-def prefix(token: str) -> str:
-    return by_table(token)[:2].lower()
+        ends = [(cost, -node[""], word, out) for cost, node, word, out in states if "" in node]
+        return min(ends)[2:] if ends else None
 
 
 def odd_tokens(text: str) -> list[tuple[int, int, str]]:
@@ -155,54 +187,87 @@ def odd_tokens(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def units(token: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a token around its candidates: words, or a Chinese character on either side."""
+    out: list[list[int]] = []
+    for m in re.finditer(f"{CANDIDATE}+", token):
+        start, end = m.span()
+        letters = all(c.isalnum() and not IS_HAN.match(unicodedata.normalize("NFKC", c)[:1]) for c in m.group() if not IS_IGNORABLE.match(c))
+        alone = not any(not IS_IGNORABLE.match(c) and not unicodedata.combining(c) for c in m.group())
+        for step in (-1, 1):
+            at = start - 1 if step < 0 else end
+            if 0 <= at < len(token) and IS_HAN.match(token[at]):
+                if alone or not letters:
+                    start, end = (at, end) if step < 0 else (start, at + 1)
+                continue
+            while 0 <= at < len(token) and not IS_HAN.match(token[at]):
+                at += step
+            start, end = (at + 1, end) if step < 0 else (start, at)
+        if out and start < out[-1][1]:
+            out[-1][1] = max(end, out[-1][1])
+        else:
+            out.append([start, end])
+    return [(a, b) for a, b in out]
+
+
 def regularised(rows: DataFrame) -> DataFrame:
-    """rows(table_name, record_id, text) -> the affected rows with `regular`, their text in the one regular form."""
+    """rows(table_name, record_id, text) -> the affected rows with `regular`, their text in the one regular form, the number
+    of irregular units and of those that the walk decided."""
     rows = rows.select("table_name", "record_id", "text")
     suspects = rows.where(F.col("text").rlike(CANDIDATE)).dropDuplicates()
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [
-                (t, i, text, at, end, token, prefix(token), plain_verdict(token))
+                (t, i, text, at + a, at + b, token[a:b], plain_verdict(token))
                 for t, i, text in zip(batch["table_name"], batch["record_id"], batch["text"], strict=True)
-                for at, end, token in odd_tokens(text)
+                for at, _, token in odd_tokens(text)
+                for a, b in units(token)
             ]
-            yield pd.DataFrame(out, columns=["table_name", "record_id", "text", "at", "end", "token", "prefix", "verdict"])
+            yield pd.DataFrame(out, columns=["table_name", "record_id", "text", "at", "end", "unit", "verdict"])
 
-    found = suspects.mapInPandas(tokens, "table_name string, record_id string, text string, at int, end int, token string, prefix string, verdict boolean")
-    odd = found.select("prefix", "token").distinct()
+    def with_skeleton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(skeleton=[skeleton(x) for x in batch.iloc[:, 0]])
+
+    found = suspects.mapInPandas(cut, "table_name string, record_id string, text string, at int, end int, unit string, verdict boolean")
+    odd = written(found.select("unit").distinct().mapInPandas(with_skeleton, "unit string, skeleton string"), "units")
+    runs = F.regexp_extract_all("text", F.lit(HAN), F.lit(0))
+    parts = lambda run, n: F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - (n - 1), F.lit(1))), lambda i: F.substring(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    pieces = F.concat(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.flatten(F.transform(runs, lambda r: F.concat(parts(r, 2), parts(r, 3)))))
     words = (
-        rows.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .withColumn("prefix", F.lower(F.substring("word", 1, 2)))
-        .join(odd.select("prefix").distinct(), "prefix", "left_semi")
-    )
+        rows.where((F.col("text") != "") & ~F.col("text").rlike(CANDIDATE)).select(F.explode(pieces).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        .mapInPandas(with_skeleton, "word string, n long, skeleton string")
+        .join(odd.select("skeleton").distinct(), "skeleton", "left_semi")
+    )
+    shard = F.pmod(F.xxhash64("skeleton"), F.lit(max(1, -(-odd.count() // SHARD)))).alias("shard")
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         trie = Trie(zip(right["word"], right["n"], strict=True))
-        return pd.DataFrame({"token": left["token"], "word": [trie.match(t) for t in left["token"]]})
+        found = [trie.match(t) for t in left["unit"]]
+        return pd.DataFrame({"unit": left["unit"], "form": [m and m[1] for m in found]})
 
-    matched = odd.groupBy("prefix").cogroup(words.groupBy("prefix")).applyInPandas(match, "token string, word string")
+    matched = odd.select("unit", shard).groupBy("shard").cogroup(words.select("word", "n", shard).groupBy("shard")).applyInPandas(match, "unit string, form string")
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for t, i, text, parts in zip(batch["table_name"], batch["record_id"], batch["text"], batch["parts"], strict=True):
-                regular, bad = text, 0
+                regular, bad, walked = text, 0, 0
                 for p in sorted(parts, key=lambda p: -p["at"]):
-                    if p["verdict"] if p["verdict"] is not None else p["word"] is not None:
-                        bad += 1
-                        regular = regular[: p["at"]] + (p["word"] or by_table(p["token"])) + regular[p["end"] :]
+                    walk = p["form"] is not None and p["form"] != p["unit"]
+                    if walk or p["verdict"]:
+                        bad, walked = bad + 1, walked + walk
+                        regular = regular[: p["at"]] + (p["form"] if walk else by_table(p["unit"])) + regular[p["end"] :]
                 if bad:
-                    out.append((t, i, text, unicodedata.normalize("NFC", regular), bad))
-            yield pd.DataFrame(out, columns=["table_name", "record_id", "text", "regular", "tokens"])
+                    out.append((t, i, text, unicodedata.normalize("NFC", regular), bad, walked))
+            yield pd.DataFrame(out, columns=["table_name", "record_id", "text", "regular", "units", "walked"])
 
     return (
-        found.join(matched, "token", "left")
+        found.join(matched, "unit", "left")
         .groupBy("table_name", "record_id", "text")
-        .agg(F.collect_list(F.struct("at", "end", "token", "word", "verdict")).alias("parts"))
-        .mapInPandas(rebuild, "table_name string, record_id string, text string, regular string, tokens int")
+        .agg(F.collect_list(F.struct("at", "end", "unit", "form", "verdict")).alias("parts"))
+        .mapInPandas(rebuild, "table_name string, record_id string, text string, regular string, units int, walked int")
     )
 
 

@@ -1,4 +1,4 @@
-from quillgraph.llm.lookalikes import Trie, by_table, odd_tokens, plain_verdict, regularised
+from quillgraph.llm.lookalikes import Trie, by_table, odd_tokens, plain_verdict, regularised, skeleton, units
 
 IRREGULAR = {
     "a": "ａｂc", "b": "x y", "c": "Habaha Guеst", "d": "铁​锹", "e": "放⼤镜", "f": "甲‧乙", "g": "café", "h": "机号ΚΒ-5008",
@@ -11,11 +11,22 @@ FORMS = {"a": "abc", "b": "x y", "c": "Habaha Guest", "d": "铁锹", "e": "放
 
 
 def test_trie():
-    trie = Trie([("pope", 3), ("pop", 9), ("Kalin", 1)])
-    assert trie.match("роре") == "pope"
-    assert trie.match("po​p") == "pop"
-    assert trie.match("Κаlіn") == "Kalin"
-    assert trie.match("Kolin") is None and trie.match("po") is None
+    trie = Trie([("pope", 3), ("pop", 9), ("Kalin", 1), ("铁锹", 2), ("Café", 4), ("pOpe", 90)])
+    assert trie.match("роре") == ("pope", "pope")
+    assert trie.match("po​p") == ("pop", "pop")
+    assert trie.match("Κаlіn") == ("Kalin", "Kalin")
+    assert trie.match("铁​锹") == ("铁锹", "铁锹")
+    # another case or accent is paid for and stays
+    assert trie.match("Роре") == ("pope", "Pope")
+    assert trie.match("Сafe") == ("Café", "Cafe")
+    assert trie.match("Kolin") is None and trie.match("po") is None and trie.match("РОРΕ") is None
+
+
+def test_units():
+    cut = lambda t: [t[a:b] for a, b in units(t)]
+    assert cut("拿着铁​锹走") == ["铁​锹"] and cut("大放⼤镜子") == ["放⼤镜"]
+    assert cut("机号ΚΒ-5008") == ["ΚΒ-5008"] and cut("guеst") == ["guеst"] and cut("他说роре好") == ["роре"]
+    assert skeleton("Роре") == skeleton("pope") and skeleton("放⼤镜") == "放大镜" and skeleton("cafe\u0301") == skeleton("café")
 
 
 def test_verdicts():
@@ -31,6 +42,9 @@ def test_frame(spark):
     out = regularised(frame).collect()
     assert {r.record_id: r.regular for r in out} == FORMS
     assert len(out) == len(FORMS)
+    assert {r.record_id for r in out if r.walked} == {"g", "l"}
+    known = spark.createDataFrame([*rows, *(("v", k, v, "z") for k, v in FORMS.items())], frame.schema)
+    assert {r.record_id for r in regularised(known).collect() if r.walked == r.units} >= {"a", "c", "d", "e", "g", "k", "l"}
     assert regularised(frame.limit(0)).count() == 0
 
 
