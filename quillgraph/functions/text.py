@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,76 @@ def idf(n: Column, df: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two float arrays, accumulated as doubles."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+#: Relations whose ends may change places.
+SYMMETRIC = ("SPOUSE_OF", "FRIEND_OF")
+
+
+def literal_key(c: Column) -> Column:
+    """A literal end in normal form behind its mark; other ends as they are."""
+    return F.when(c.startswith("lit:"), F.concat(F.lit("lit:"), normal_name(F.substring(c, F.lit(5), F.length(c))))).otherwise(c)
+
+
+def edge_key(src: Column, rel: Column, dst: Column) -> Column:
+    """src, rel and dst as one comparable struct: literals in normal form, ends of symmetric relations in order."""
+    a, b = literal_key(src), literal_key(dst)
+    swap = rel.isin(*SYMMETRIC) & (a > b)
+    return F.struct(F.when(swap, b).otherwise(a).alias("src"), rel.alias("rel"), F.when(swap, a).otherwise(b).alias("dst"))
+
+
+def salvaged_json(c: Column) -> Column:
+    """The JSON inside an answer: a fenced block, else from the first { to the last }; null if it doesn't parse."""
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    body = F.when(F.trim(fenced) != "", F.trim(fenced)).otherwise(braces)
+    return F.when(F.get_json_object(body, "$").isNotNull(), body)
+
+
+def document_ids(c: Column) -> Column:
+    """The document ids that a text names, in order, each once."""
+    return F.array_distinct(_runs(c, "doc-[0-9]{4,8}"))
+
+
+def rendered(template: str, **values: Column) -> Column:
+    """A template with {names} filled in; a name without a value is an error, {{ and }} are braces."""
+    out = F.lit("")
+    for literal, name, _, _ in string.Formatter().parse(template):
+        out = F.concat(out, F.lit(literal))
+        if name is not None:
+            if name not in values:
+                raise KeyError(f"template lacks a value for {name!r}")
+            out = F.concat(out, F.coalesce(values[name].cast("string"), F.lit("")))
+    return out
+
+
+def judged(c: Column) -> Column:
+    """A judge's verdict: the JSON field, else the word true or false behind it; null if there is neither."""
+    field = F.get_json_object(salvaged_json(c), "$.correct")
+    loose = F.regexp_extract(F.lower(c), r"\"?correct\"?\s*[:：]\s*\"?(true|false)", 1)
+    return F.when(F.lower(field).isin("true", "false"), F.lower(field) == "true").when(loose != "", loose == "true")
+
+
+def token_cost(inputs: Column, outputs: Column, price_in: Column, price_out: Column, cached: Column) -> Column:
+    """Cost of tokens at prices per million; what came from the cache is free."""
+    return F.when(F.coalesce(cached, F.lit(False)), F.lit(0.0)).otherwise((F.coalesce(inputs, F.lit(0)) * price_in + F.coalesce(outputs, F.lit(0)) * price_out) / F.lit(1e6))
+
+
+def percent(c: Column) -> Column:
+    """A share as a text with one decimal; a dash where there is none."""
+    return F.when(c.isNull() | F.isnan(c), F.lit("—")).otherwise(F.format_string("%.1f%%", c * 100.0))
+
+
+def compact_json(*columns: str) -> Column:
+    """Columns as one line of JSON without spaces, null fields kept."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+#: What a question may begin with before its content.
+ASKING = "^(哪只狼|哪只羊|哪个机器人|哪位角色|谁)"
+
+
+def four_grams(c: Column) -> Column:
+    """The distinct four-character windows of a question without its question words."""
+    t = F.regexp_replace(F.regexp_replace(c, ASKING, ""), "？$", "")
+    return F.when(F.length(t) >= 4, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 3, F.lit(1))), lambda i: F.substring(t, i, F.lit(4))))).otherwise(F.array().cast("array<string>"))

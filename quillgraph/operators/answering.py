@@ -30,12 +30,32 @@ def citations(answers: DataFrame) -> DataFrame:
 
 
 def extractive(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """ranked(query, item, rank), chunks(item, raw_text) -> query, answer: the best chunk in one line of 300 characters."""
+    """ranked(query, item, rank), chunks(item, raw_text) -> query, answer: the best chunk in one line of 300 characters.
+
+    Questions for which nothing was found have no row; `extractive_or_refusal` gives them one.
+    """
     best = ranked.where("rank = 1").join(chunks, "item")
     line = F.substring(F.translate(F.coalesce("raw_text", F.lit("")), "\n", " "), 1, 300)
     return best.select("query", F.concat(line, F.lit("[1]")).alias("answer"))
 
 
+#: A fixed value: the answer where nothing was retrieved.
+NOTHING = "资料中未提及。"
+
+
+def extractive_or_refusal(questions: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """questions(query) -> query, answer, refused: as `extractive`, declining where nothing was retrieved."""
+    rows = questions.select("query").join(extractive(ranked, chunks), "query", "left")
+    return rows.select("query", F.coalesce("answer", F.lit(NOTHING)).alias("answer"), F.col("answer").isNull().alias("refused"))
+
+
+def with_paths(contexts: DataFrame, paths: DataFrame, most: int = 6) -> DataFrame:
+    """contexts(query, context), paths(query, path, place) -> query, context with its first relation paths behind it."""
+    lines = paths.where(F.col("place") <= most).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda s: F.concat(F.lit("- "), s["path"])).alias("lines"))
+    rows = contexts.join(lines, "query", "left")
+    return rows.select("query", F.when(F.size("lines") > 0, F.concat("context", F.lit("\n\n"), F.array_join("lines", "\n"))).otherwise(F.col("context")).alias("context"))
+
+
 def cached(answers: DataFrame, results: DataFrame) -> DataFrame:
     """answers(answer_id, result_key) with the result of each key: hit, tokens, finish_reason. A key's rows count once."""
     once = results.groupBy("result_key").agg(F.max("model").alias("model"), F.max("input_tokens").alias("input_tokens"), F.max("output_tokens").alias("output_tokens"), F.max("alias_hit").alias("alias_hit"))
@@ -43,8 +63,42 @@ def cached(answers: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("answer_id", F.col("model").isNotNull().alias("hit"), "model", "input_tokens", "output_tokens", F.coalesce("alias_hit", F.lit(False)).alias("alias_hit"))
 
 
+def alias_forms(entities: DataFrame) -> DataFrame:
+    """entities(id, name, aliases) -> name, forms: the name and all aliases of the records with it, sorted."""
+    rows = entities.where("name <> ''").select("name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
+    return rows.where("form <> ''").groupBy("name").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+
+
+def fully_scored(answers: DataFrame, questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row per answer: refused, entity_recall, correct, refusal_correct, false_refusal, citation_valid, citation_grounded.
+
+    A gold entity is there if any of its forms is; a question that expects a refusal is answered rightly by one; grounded is
+    the share of the valid citations whose document is a gold document. What doesn't apply is null.
+    """
+    asked = questions.select(F.col("id").alias("question_id"), "qtype", "gold_entities", "gold_docs", "expect_refusal").dropDuplicates(["question_id"])
+    gold = asked.select("question_id", F.explode("gold_entities").alias("name")).distinct().join(alias_forms(entities), "name", "left")
+    forms = gold.groupBy("question_id").agg(F.collect_list(F.struct("name", F.transform(F.coalesce("forms", F.array("name")), T.without_space).alias("forms"))).alias("known"))
+    text = T.without_space(T.without_citations(F.coalesce(F.col("text"), F.lit(""))))
+    rows = answers.dropDuplicates(["answer_id"]).join(asked, "question_id").join(forms, "question_id", "left").withColumn("squashed", text)
+    rows = rows.withColumn("known", F.map_from_entries(F.transform(F.coalesce("known", F.array().cast("array<struct<name:string,forms:array<string>>>")), lambda k: F.struct(k["name"], k["forms"]))))
+    here = F.filter("gold_entities", lambda g: F.exists(F.coalesce(F.element_at(F.col("known"), g), F.array().cast("array<string>")), lambda f: (f != "") & F.contains(F.col("squashed"), f)))
+    n, hit = F.coalesce(F.size("gold_entities"), F.lit(0)), F.size(here).cast("double")
+    no, trap = T.refuses(F.col("text")), F.col("expect_refusal")
+    right = F.when(trap, no.cast("double")).otherwise(((n > 0) & (hit == n)).cast("double"))
+    cited = F.coalesce("citations", F.array().cast(dict(answers.dtypes)["citations"]))
+    valid = F.filter(cited, lambda c: c["valid"])
+    sourced = F.filter(valid, lambda c: c["doc_id"].isNotNull() & (c["doc_id"] != ""))
+    grounded = F.size(F.filter(sourced, lambda c: F.array_contains("gold_docs", c["doc_id"])))
+    return rows.select(
+        "answer_id", "question_id", "qtype", "prompt_id", no.alias("refused"), F.round(F.when(~trap, F.when(n > 0, hit / n).otherwise(1.0)), 6).alias("entity_recall"), right.alias("correct"),
+        F.when(trap, no.cast("double")).alias("refusal_correct"), F.when(~trap, (no & (right == 0.0)).cast("double")).alias("false_refusal"),
+        F.round(F.when(F.size(cited) > 0, F.size(valid) / F.size(cited)), 6).alias("citation_valid"),
+        F.round(F.when((F.size(sourced) > 0) & (F.size("gold_docs") > 0), grounded / F.size(sourced)), 6).alias("citation_grounded"), "latency_ms", "cost_usd",
+    )
+
+
 def scored(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """One row per answer: refused, entity_recall, correct, refusal_correct, false_refusal; not applicable is null."""
+    """One row per answer: refused, entity_recall, correct, refusal_correct, false_refusal, by names alone; not applicable is null."""
     text = T.without_space(T.without_citations(F.coalesce(F.col("text"), F.lit(""))))
     rows = answers.dropDuplicates(["answer_id"]).join(questions.select(F.col("id").alias("question_id"), "qtype", "gold_entities", "expect_refusal").dropDuplicates(["question_id"]), "question_id")
     rows = rows.withColumn("squashed", text).withColumn("says_no", T.refuses(F.col("text")))
@@ -54,7 +108,7 @@ def scored(answers: DataFrame, questions: DataFrame) -> DataFrame:
     trap = F.col("expect_refusal")
     rows = rows.withColumn("recall", F.when(~trap, recall)).withColumn("right", F.when(~trap, ((F.size("gold_entities") > 0) & (recall == 1.0)).cast("double")))
     return rows.select(
-        "answer_id", "qtype", "prompt_id", F.col("says_no").alias("refused"), F.round("recall", 6).alias("entity_recall"), F.col("right").alias("correct"),
+        "answer_id", "qtype", "prompt_id", F.col("says_no").alias("refused"), F.round("recall", 6).alias("entity_recall"), F.when(trap, F.col("says_no").cast("double")).otherwise(F.col("right")).alias("correct"),
         F.when(trap, F.col("says_no").cast("double")).alias("refusal_correct"), F.when(~trap, (F.col("says_no") & (F.col("right") == 0.0)).cast("double")).alias("false_refusal"),
     )
 
@@ -64,7 +118,7 @@ def mean(c: str) -> Column:
     return F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6)
 
 
-def retrieval_metrics(ranked: DataFrame, owners: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+def retrieval_metrics(ranked: DataFrame, owners: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10, 20)) -> DataFrame:
     """ranked(query, item, rank), owners(item, doc), gold(query, qtype, docs) -> query, qtype, recall@k, hit@k, rr.
 
     A document's rank is the rank of its first chunk.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 FIXED, FIXED_OVERLAP, SECTION, SECTION_OVERLAP = 350, 60, 400, 60
 #: Text before the first heading up to this length joins the first section.
 PREAMBLE = 120
+#: A fixed value: what begins a section.
 HEADING = re.compile(r"^(?:第[一二三四五六七八九十百]+[节章条]|[一二三四五六七八九十]+、)[^\n]*$", re.M)
 STOPS = "。！？\n"
 SCHEMA = "doc_id string, chunk_seq int, section string, char_offset int, raw_text string"
@@ -56,7 +57,9 @@ def _pieces(text: str, strategy: str) -> Iterator[tuple[str, int, str]]:
         yield from (("", at, piece) for at, piece in windows(text, FIXED, FIXED_OVERLAP))
         return
     for name, start, end in sections(text):
-        yield from ((name, start + at, piece) for at, piece in windows(text[start:end], SECTION, SECTION_OVERLAP))
+        # a page without headings is one section as it stands, a section's body is stripped before it is cut
+        body = text[start:end] if not name and (start, end) == (0, len(text)) else text[start:end].strip()
+        yield from ((name, start + at, piece) for at, piece in windows(body, SECTION, SECTION_OVERLAP))
 
 
 def chunked(documents: DataFrame, strategy: str) -> DataFrame:
@@ -74,6 +77,7 @@ def chunked(documents: DataFrame, strategy: str) -> DataFrame:
     if strategy != "contextual":
         return out.withColumn("text", F.col("raw_text"))
     titles = documents.select(F.col("doc_id").cast("string"), F.coalesce("title", F.lit("")).alias("title")).dropDuplicates(["doc_id"])
-    named = (F.col("section") != "") & ~F.col("raw_text").startswith(F.col("section"))
+    head = F.substring(F.col("raw_text"), F.lit(1), F.length("section") + 2)
+    named = (F.col("section") != "") & ~F.contains(head, F.col("section"))
     line = F.concat(F.lit("【"), "title", F.when(named, F.concat(F.lit("｜"), "section")).otherwise(""), F.lit("】\n"))
     return out.join(titles, "doc_id").withColumn("text", F.concat(line, "raw_text")).drop("title")

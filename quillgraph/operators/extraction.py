@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -66,14 +66,28 @@ def first_facts(triples: DataFrame) -> DataFrame:
     return triples.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
+def evidence_parts(evidence: Column) -> Column:
+    """The parts of two characters or more of an evidence without spaces; without such a part the whole; none if it is empty."""
+    whole = T.without_space(F.coalesce(evidence, F.lit("")))
+    parts = F.filter(F.transform(F.split(F.coalesce(evidence, F.lit("")), r"[·•|+；;…]|\.\.\."), T.without_space), lambda p: F.length(p) >= 2)
+    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(parts) == 0, F.array(whole)).otherwise(parts)
+
+
+def verbatim(evidence: Column, text: Column) -> Column:
+    """Whether all parts of an evidence stand in a text; an empty evidence does."""
+    body = T.without_space(F.coalesce(text, F.lit("")))
+    return F.forall(evidence_parts(evidence), lambda p: F.contains(body, p))
+
+
 def evidenced(triples: DataFrame, documents: DataFrame) -> DataFrame:
-    """triples with evidence and document: triple_id, parts, found, verbatim (all parts of two characters or more occur)."""
-    rows = triples.select("triple_id", "source_doc", "evidence").join(documents.select(F.col("id").alias("source_doc"), "text"), "source_doc")
-    parts = F.filter(F.transform(F.split(F.coalesce("evidence", F.lit("")), r"[·•|+；;…]|\.\.\."), T.without_space), lambda p: F.length(p) >= 2)
-    body = T.without_space(F.coalesce(F.col("text"), F.lit("")))
-    rows = rows.withColumn("ps", parts).withColumn("body", body)
-    found = F.size(F.filter("ps", lambda p: F.contains(F.col("body"), p)))
-    return rows.select("triple_id", F.size("ps").alias("parts"), found.alias("found"), (found == F.size("ps")).alias("verbatim"))
+    """triples with evidence and document: triple_id, parts, found, verbatim (all parts occur).
+
+    The parts of one document's triples are gathered before its text is joined, once.
+    """
+    parts = triples.select("triple_id", "source_doc", evidence_parts(F.col("evidence")).alias("ps")).groupBy("source_doc").agg(F.collect_list(F.struct("triple_id", "ps")).alias("t"))
+    rows = parts.join(documents.select(F.col("id").alias("source_doc"), T.without_space(F.coalesce("text", F.lit(""))).alias("body")), "source_doc")
+    counted = F.transform("t", lambda t: F.struct(t["triple_id"].alias("triple_id"), F.size(t["ps"]).alias("parts"), F.size(F.filter(t["ps"], lambda p: F.contains(F.col("body"), p))).alias("found")))
+    return rows.select(F.inline(counted)).withColumn("verbatim", F.col("found") == F.col("parts"))
 
 
 def nearly_evidenced(triples: DataFrame, documents: DataFrame, least: float = OVERLAP) -> DataFrame:
@@ -88,7 +102,7 @@ def nearly_evidenced(triples: DataFrame, documents: DataFrame, least: float = OV
             out = []
             for key, evidence, text in zip(batch["triple_id"], batch["evidence"], batch["text"], strict=True):
                 body = re.sub(r"\s+", "", text or "")
-                parts = [p for x in re.split(r"[·•|+；;…]|\.\.\.", evidence or "") if len(p := re.sub(r"\s+", "", x)) >= 2]
+                parts = [p for x in re.split(r"[·•|+；;…]|\.\.\.", evidence or "") if len(p := re.sub(r"\s+", "", x)) >= 2] or [re.sub(r"\s+", "", evidence or "")]
                 ok = all(p in body or SequenceMatcher(None, p, body).find_longest_match(0, len(p), 0, len(body)).size / len(p) >= least for p in parts)
                 out.append((key, ok))
             yield pd.DataFrame(out, columns=["triple_id", "accepted"])
@@ -127,8 +141,8 @@ def constrained_clusters(candidates: DataFrame) -> DataFrame:
     """candidates(block, a, b, seq, forbid) -> block, name, representative.
 
     Within a block, rows are taken in order of seq: a forbidding row keeps two clusters apart for good, another one joins
-    them unless a forbidden pair would meet. Order matters, so a block is one group; blocks are the connected candidates
-    and run in parallel.
+    them unless a forbidden pair would meet. Order matters, so a block is one group; blocks must be closed under joining
+    (connected candidates) and run in parallel.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

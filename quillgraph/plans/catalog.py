@@ -173,13 +173,6 @@ def same_names(s, d):
     return X.same_names(entities(s, d))
 
 
-@query
-def resolve_clusters(s, d):
-    pairs = X.name_pairs(entities(s, d)).withColumn("block", F.concat_ws("/", "entity_type", F.substring(T.normal_name(F.col("a")), 1, 2)))
-    ordered = pairs.withColumn("seq", F.concat(F.when(F.col("verdict") == "strong", "0").otherwise("1"), "a", F.lit("|"), "b")).withColumn("forbid", F.col("verdict") == "weak")
-    return X.constrained_clusters(ordered.select("block", "a", "b", "seq", "forbid"))
-
-
 # graph
 
 
@@ -326,7 +319,7 @@ def cache_lookup(s, d):
 @query
 def retrieval_metrics(s, d):
     owners = chunks(s, d).select(F.col("id").alias("item"), F.col("doc_id").alias("doc"))
-    return A.retrieval_metrics(bm25_topk(s, d), owners, searches(s, d))
+    return A.retrieval_metrics(R.bm25(chunk_texts(s, d), searches(s, d), 20), owners, searches(s, d))
 
 
 @query
@@ -413,15 +406,13 @@ def read_document(s, d):
     return documents(s, d).select("id", F.substring(t, 1, 1500).alias("body"), (F.length(t) > 1500).alias("truncated"))
 
 
+#: Words of the search `find_entity`.
+STEMS = ("合唱团", "学堂", "岛", "choir", "island")
+
+
 @query
 def find_entity(s, d):
-    """Records whose name or alias contains a show's lower-cased name stem: substring search over all records."""
-    stems = table(s, d, "shows").select(F.col("id").alias("show"), F.substring("name", 1, 2).alias("stem"))
+    """Records whose name or alias contains a group or place word: substring search over all records."""
+    stems = s.createDataFrame([(w,) for w in STEMS], "stem string")
     forms = entities(s, d).select("id", F.explode(F.array_union(F.array(F.coalesce("name", F.lit(""))), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
-    return forms.join(F.broadcast(stems), F.contains(F.lower("form"), F.lower("stem"))).groupBy("show").agg(F.countDistinct("id").alias("records"))
-
-
-def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Retrieval for all searches: both lexical lists fused, the route of each question beside its hits."""
-    route = R.routed(searches(s, d).select("query", "text"), R.mentions(searches(s, d).select("query", "text"), R.surface_forms(entities(s, d))))
-    return rrf_fusion(s, d).join(route, "query").select("query", "route", "rank", "item", "score", "sources")
+    return forms.join(F.broadcast(stems), F.contains(F.lower("form"), F.lower("stem"))).groupBy("stem").agg(F.countDistinct("id").alias("records"))

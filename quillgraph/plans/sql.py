@@ -80,17 +80,17 @@ def _bm25(name: str, items: str, k: int) -> str:
 TEXTS = "SELECT id AS item, coalesce(text, '') AS text FROM chunk"
 HEADINGS = "SELECT id AS item, concat_ws(' ', doc_title, section) AS text FROM chunk"
 BM25 = f"WITH {CHUNKS}, {SEARCH}, {_bm25('best', TEXTS, 10)}"
-METRICS = f"""{BM25},
+METRICS = f"""{BM25.replace('rank <= 10', 'rank <= 20')},
 doc AS (SELECT query, doc_id AS doc, min(rank) AS rank FROM best JOIN chunk ON chunk.id = best.item GROUP BY ALL),
 want AS (SELECT query, qtype, len(docs) AS n, unnest(docs) AS doc FROM search WHERE len(docs) > 0),
 metric AS (SELECT query, qtype,
-  {", ".join(f"round(count(*) FILTER (rank <= {k}) / any_value(n), 6) AS recall_{k}, max(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10))},
+  {", ".join(f"round(count(*) FILTER (rank <= {k}) / any_value(n), 6) AS recall_{k}, max(CASE WHEN rank <= {k} THEN 1 ELSE 0 END) AS hit_{k}" for k in (1, 3, 5, 10, 20))},
   round(coalesce(CAST(1 AS DOUBLE) / min(rank), 0), 6) AS rr FROM want LEFT JOIN doc USING (query, doc) GROUP BY query, qtype)"""
 SCORED = f"""WITH {ANSWER}, q AS (SELECT id AS question_id, qtype, gold_entities, expect_refusal FROM eval_set),
 row AS (SELECT *, {_squash(_uncited("coalesce(text, '')"))} AS squashed, {REFUSES} AS says_no FROM answer JOIN q USING (question_id)),
 hit AS (SELECT *, CASE WHEN len(gold_entities) > 0 THEN CAST(len(list_filter(gold_entities, lambda g: contains(squashed, {_squash("g")}))) AS DOUBLE) / len(gold_entities) ELSE 1 END AS r FROM row),
 scored AS (SELECT answer_id, question_id, qtype, prompt_id, says_no AS refused, CASE WHEN NOT expect_refusal THEN round(r, 6) END AS entity_recall,
-  CASE WHEN NOT expect_refusal THEN CAST(len(gold_entities) > 0 AND r = 1 AS INT)::DOUBLE END AS correct,
+  CASE WHEN NOT expect_refusal THEN CAST(len(gold_entities) > 0 AND r = 1 AS INT)::DOUBLE ELSE CAST(says_no AS INT)::DOUBLE END AS correct,
   CASE WHEN expect_refusal THEN CAST(says_no AS INT)::DOUBLE END AS refusal_correct,
   CASE WHEN NOT expect_refusal THEN CAST(says_no AND NOT (len(gold_entities) > 0 AND r = 1) AS INT)::DOUBLE END AS false_refusal FROM hit)"""
 MENTION = f"{FORMS}, mention AS (SELECT e.id AS query, e.question AS text, form, entity, instr(e.question, form) AS pos FROM eval_set e JOIN form ON contains(e.question, form))"
@@ -151,8 +151,8 @@ SQL: dict[str, str] = {
           WHEN subject_type IS DISTINCT FROM ws OR object_type IS DISTINCT FROM wo THEN 'wrong_type' ELSE 'ok' END AS reason, relation, count(*) AS n
         FROM triples LEFT JOIN s USING (relation) GROUP BY ALL""",
     "triple_dedupe": "SELECT triple_id, source_doc, subject, relation, object FROM triples QUALIFY row_number() OVER (PARTITION BY source_doc, subject, relation, object ORDER BY triple_id) = 1",
-    "evidence_check": f"""WITH r AS (SELECT triple_id, list_filter(list_transform(regexp_split_to_array(coalesce(evidence, ''), '[·•|+；;…]|\\.\\.\\.'), lambda p: {_squash("p")}), lambda p: length(p) >= 2) AS ps, {_squash("coalesce(d.text, '')")} AS body
-        FROM triples t JOIN documents d ON d.id = t.source_doc), f AS (SELECT triple_id, len(ps) AS parts, len(list_filter(ps, lambda p: contains(body, p))) AS found FROM r)
+    "evidence_check": f"""WITH r AS (SELECT triple_id, list_filter(list_transform(regexp_split_to_array(coalesce(evidence, ''), '[·•|+；;…]|\\.\\.\\.'), lambda p: {_squash("p")}), lambda p: length(p) >= 2) AS pt, {_squash("coalesce(evidence, '')")} AS ev, {_squash("coalesce(d.text, '')")} AS body
+        FROM triples t JOIN documents d ON d.id = t.source_doc), r2 AS (SELECT triple_id, CASE WHEN ev = '' THEN [] WHEN len(pt) = 0 THEN [ev] ELSE pt END AS ps, body FROM r), f AS (SELECT triple_id, len(ps) AS parts, len(list_filter(ps, lambda p: contains(body, p))) AS found FROM r2)
         SELECT triple_id, parts, found, parts = found AS verbatim FROM f""",
     "mention_collect": """WITH e AS (SELECT triple_id, 0 AS pos, subject AS name, subject_type AS type, evidence FROM triples UNION ALL SELECT triple_id, 1, object, object_type, evidence FROM triples WHERE object_type <> 'Literal')
         SELECT name, last(type ORDER BY triple_id, pos) AS type, first(substring(coalesce(evidence, ''), 1, 120) ORDER BY triple_id, pos) AS context FROM e WHERE name <> '' GROUP BY name""",
@@ -219,6 +219,6 @@ SQL: dict[str, str] = {
     "dataset_summary": """SELECT coalesce(qtype, 'all') AS qtype, coalesce(split, 'all') AS split, count(*) AS questions, count(*) FILTER (expect_refusal) AS traps, CAST(grouping(qtype, split) AS INT) AS level FROM eval_set
         GROUP BY CUBE (qtype, split) HAVING grouping(qtype, split) < 3""",
     "read_document": "SELECT id, substring(coalesce(text, ''), 1, 1500) AS body, length(coalesce(text, '')) > 1500 AS truncated FROM documents",
-    "find_entity": f"""WITH {ENTITY}, f AS (SELECT id, coalesce(name, '') AS form FROM entity UNION SELECT id, unnest(aliases) FROM entity), s AS (SELECT id AS "show", substring(name, 1, 2) AS stem FROM shows)
-        SELECT "show", count(DISTINCT f.id) AS records FROM f JOIN s ON contains(lower(form), lower(stem)) GROUP BY 1""",
+    "find_entity": f"""WITH {ENTITY}, f AS (SELECT id, coalesce(name, '') AS form FROM entity UNION SELECT id, unnest(aliases) FROM entity), s(stem) AS (VALUES ('合唱团'), ('学堂'), ('岛'), ('choir'), ('island'))
+        SELECT stem, count(DISTINCT f.id) AS records FROM f JOIN s ON contains(lower(form), lower(stem)) GROUP BY 1""",
 }

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import catalog
+from quillgraph.plans import catalog, extended
 from quillgraph.plans.sql import SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(catalog.QUERIES)
+    return catalog.QUERIES | extended.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | extended.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.flagship(spark, sf_dir)
+    return extended.routed_topk(spark, sf_dir)
