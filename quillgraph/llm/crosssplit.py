@@ -6,8 +6,9 @@
    power of its inverse document frequency, so that two texts agree in a minimum with the probability of their weighted
    Jaccard similarity: shared question patterns count little, names count much, and no shingle is dropped. Banded buckets
    keep pairs of a class with training rows and a class with evaluation rows only.
-3. Exact checks of each candidate: Jaccard similarity of the shingles, same answer, and an alignment of the words that
-   may differ by slips of the pen but not by another name or attribute.
+3. Exact checks of each candidate: Jaccard similarity of the shingles, and an alignment of the words that may differ by
+   slips of the pen but not by another name or attribute. One wording is confirmed by itself; where letters differ, equal
+   answers (up to a slip) are the witness that a changed name is a slip and not another name.
 4. Confirmed pairs of classes, and classes that stand in both splits, give the row pairs through the membership.
 
 Document frequencies cover all rows; they live in a hashed table of fixed size (`BUCKETS`), which bounds the broadcast.
@@ -149,6 +150,11 @@ def same_words(a: str, b: str, sure: bool, common) -> bool:
     return all(len(v) <= 2 and not v.isdigit() for v in rw) and edits + len(rw) <= 3
 
 
+def agree(a: str, b: str) -> bool:
+    """Whether two canonical answers are one, up to slips in long ones."""
+    return a == b or (min(len(a), len(b)) >= 8 and _distance(a, b, 1) <= 1)
+
+
 def overlaps(questions: DataFrame) -> DataFrame:
     """questions(id, question, split, answer, open) -> id_a, id_b (smaller first), jaccard.
 
@@ -217,7 +223,12 @@ def overlaps(questions: DataFrame) -> DataFrame:
             for r in batch.itertuples(index=False):
                 x, y = set(shingles(r.canon_a)), set(shingles(r.canon_b))
                 jaccard = len(x & y) / len(x | y)
-                if jaccard >= JACCARD and r.answer_a == r.answer_b and r.open_a == r.open_b and same_words(r.canon_a, r.canon_b, not r.open_a and r.answer_a != "", common):
+                if jaccard < JACCARD:
+                    continue
+                # one wording is one question, whatever its answer; slips need a witness that it isn't another entity's
+                one = r.canon_a.replace(" ", "") == r.canon_b.replace(" ", "")
+                witness = agree(r.answer_a, r.answer_b) and r.open_a == r.open_b
+                if one or (witness and same_words(r.canon_a, r.canon_b, not r.open_a and r.answer_a != "", common)):
                     out.append((r.a, r.b, jaccard))
             yield pd.DataFrame(out, columns=["a", "b", "jaccard"])
 

@@ -5,7 +5,8 @@ only the rest is packed with others. The rests are dealt at random to blocks of
 grouping genetic algorithm on several islands:
 
 * a solution is a list of bins; crossover injects the best-filled bins of one parent whole into the other, removes the bins
-  that hold a document twice, and inserts the displaced documents best-fit, largest first;
+  that hold a document twice, lets displaced documents replace smaller ones where they fit better, and inserts the rest
+  best-fit, largest first; an island above the lower bound goes on as long as it gains bins;
 * each island evolves its own population; after an epoch its elite migrates to the next island of the block, as rows of a
   shuffle on (block, island), and the best elite of the islands is the block's packing.
 
@@ -38,7 +39,11 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: The pattern of the byte-level tokenizers, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of a block, islands of a block, solutions of an island, generations of an epoch.
-BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1000, 2, 4, 6, 2
+BLOCK, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 1000, 2, 4, 12, 2
+#: Generations that an island goes on after its last gain of a bin, and at most, while it is above the lower bound.
+PATIENCE, LONGEST = 6, 60
+#: Bins of up to this many items are also searched for pairs that a displaced item can replace.
+PAIRED = 12
 #: Bins under this fill are opened again after the first round.
 REOPEN = 0.985
 
@@ -113,9 +118,35 @@ def mutate(bins: Bins, sizes: np.ndarray, capacity: int, rng: np.random.Generato
     return _refit([list(b) for k, b in enumerate(bins) if k not in drop], displaced, sizes, capacity, rng)
 
 
+def exchange(bins: Bins, room: list[int], displaced: list[int], sizes: np.ndarray) -> list[int]:
+    """Displaced items take the place of one or two smaller ones in bins where they leave less room; what is displaced then."""
+    loose = sorted((int(sizes[i]), i) for i in displaced)
+    for k, own in enumerate(bins):
+        if not loose:
+            break
+        if room[k] <= 0:
+            continue
+        best = (0, 0, ())
+        for x, i in enumerate(own):
+            for out in [(i,), *((i, j) for j in own[x + 1 :])] if len(own) <= PAIRED else [(i,)]:
+                low = int(sum(sizes[o] for o in out))
+                at = bisect_left(loose, (low + room[k] + 1, -1)) - 1
+                if at >= 0 and loose[at][0] - low > best[0]:
+                    best = (loose[at][0] - low, at, out)
+        gain, at, out = best
+        if gain:
+            _, i = loose.pop(at)
+            own[:] = [o for o in own if o not in out] + [i]
+            room[k] -= gain
+            for o in out:
+                insort(loose, (int(sizes[o]), o))
+    return [i for _, i in loose]
+
+
 def _refit(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> Bins:
     """Displaced items go best-fit into the bins, largest first, in a slightly shuffled order."""
     room = [capacity - int(sizes[b].sum()) for b in bins]
+    displaced = exchange(bins, room, displaced, sizes)
     order = sorted(displaced, key=lambda i: -sizes[i] * rng.uniform(0.9, 1.1))
     best_fit(order, sizes, bins, room, capacity)
     return bins
@@ -132,8 +163,9 @@ def evolve(sizes: np.ndarray, start: list[Bins], capacity: int, seed: int, gener
         pool.append(bins)
     scored = sorted(((cost(b, sizes, capacity), k, b) for k, b in enumerate(pool)), key=lambda x: x[:2])
     least = -(-int(sizes.sum()) // capacity)
-    for g in range(generations):
-        if len(scored[0][2]) <= least:
+    until, fewest = generations, len(scored[0][2])
+    for g in range(max(generations, LONGEST)):
+        if fewest <= least or g >= until:
             break
         a, b = rng.choice(len(scored), 2, replace=False)
         child = crossover(scored[min(a, b)][2], scored[max(a, b)][2], sizes, capacity, rng)
@@ -141,9 +173,18 @@ def evolve(sizes: np.ndarray, start: list[Bins], capacity: int, seed: int, gener
             child = mutate(child, sizes, capacity, rng)
         scored.append((cost(child, sizes, capacity), population + g, child))
         scored = sorted(scored, key=lambda x: x[:2])[:population]
+        if len(scored[0][2]) < fewest:
+            until, fewest = max(until, g + 1 + PATIENCE), len(scored[0][2])
     return scored[0][2]
 
 
+def plain(sizes: np.ndarray, capacity: int) -> Bins:
+    """Best-fit decreasing, for comparison."""
+    bins: Bins = []
+    best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, bins, [], capacity)
+    return bins
+
+
 def _epoch(items: DataFrame, capacity: int, epoch: int) -> DataFrame:
     """items(block, island, item, size, bins) -> the same with each island's best bins; bins holds the islands' elites by item."""
 
@@ -204,9 +245,20 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences, the least number possible, and the part of the room that is used."""
-    bins = p7_sequences(spark, sf_dir).groupBy("sequence").agg(F.sum("tokens").alias("fill"))
-    return bins.agg(F.count("*").alias("sequences"), F.ceil(F.sum("fill") / CAPACITY).alias("least"), (F.sum("fill") / (F.count("*") * CAPACITY)).alias("used"), F.max("fill").alias("fullest"))
+    """Sequences, the least number possible, what best-fit decreasing takes in the same blocks, the part of the room in use."""
+    sizes = written(token_sizes(table(spark, sf_dir, "documents")), "tokens")
+    bins = packed(sizes).groupBy("sequence").agg(F.sum("tokens").alias("fill"))
+    whole = bins.agg(F.count("*").alias("sequences"), F.ceil(F.sum("fill") / CAPACITY).alias("least"), (F.sum("fill") / (F.count("*") * CAPACITY)).alias("used"), F.max("fill").alias("fullest"))
+    sizes = sizes.dropDuplicates(["doc_id"])
+    full = sizes.agg(F.coalesce(F.sum(F.expr(f"tokens div {CAPACITY}")), F.lit(0)).alias("full"))
+    rests = sizes.select("doc_id", (F.col("tokens") % CAPACITY).alias("size")).where("size > 0")
+    blocks = max(1, -(-rests.count() // BLOCK))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(plain(group.sort_values("doc_id")["size"].to_numpy(), CAPACITY))]})
+
+    fit = rests.groupBy(F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(blocks)).alias("block")).applyInPandas(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return whole.crossJoin(full).crossJoin(fit).select("sequences", "least", (F.col("full") + F.col("n")).alias("best_fit"), "used", "fullest")
 
 
 QUERIES = {"p7_sequences": p7_sequences, "p7_fill": p7_fill}

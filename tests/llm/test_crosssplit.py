@@ -13,6 +13,10 @@ ROWS = [
     ("q10", "阿明·川远的武器是什么？", None, "铁锹", False, "x"),
     ("q11", "孤独的问题？", "test", None, None, "x"),
     ("q12", "孤独的问题", "train", None, None, "x"),
+    # one wording is confirmed whatever its answers
+    ("q13", "Which lantern hangs above the old harbour gate?", "train", "the copper one", False, "x"),
+    ("q14", "which lantern hangs above the old harbour gate", "dev", "copper lantern", False, "x"),
+    ("q15", "Which lantern hangs above the old harbuor gate?", "test", "the coper one", False, "x"),
 ]
 SCHEMA = "id string, question string, split string, answer string, open boolean, canon string"
 
@@ -33,7 +37,7 @@ def test_frame(spark):
     filler = [(f"f{k}", f"What is the {w} of Somebody{k}?", "train", str(k), False, "x") for k in range(600) for w in ["height" if k % 2 else "weight"]]
     frame = spark.createDataFrame(ROWS + filler + ROWS[:2], SCHEMA)
     got = {(r.id_a, r.id_b) for r in overlaps(frame).collect()}
-    assert got == {("q1", "q2"), ("q5", "q7"), ("q11", "q12")}
+    assert got == {("q1", "q2"), ("q5", "q7"), ("q11", "q12"), ("q13", "q14"), ("q13", "q15")}
     assert overlaps(frame.limit(0)).count() == 0
 
 

@@ -59,3 +59,28 @@ def test_token_sizes(spark):
     frame = spark.createDataFrame([(1, "hello world", 9), (2, "", 9), (3, None, 9), (4, "x" * 50_000, 9)], "doc_id long, text string, tokens int")
     got = {r.doc_id: r.tokens for r in token_sizes(frame).collect()}
     assert set(got) == {1, 4} and 2 <= got[1] <= 3 and got[4] > 1000
+
+
+def test_evolution_beats_best_fit_decreasing_on_hard_sizes():
+    # sizes of a half to a fifth of a bin, and bins cut in three that can be filled without a rest
+    sizes = np.random.default_rng(9).integers(500, 1101, 1000)
+    bins = evolve(sizes, [], 2048, 1)
+    valid(bins, sizes, 2048)
+    assert len(bins) <= 0.97 * len(packing.plain(sizes, 2048))
+    for seed in range(3):
+        rng, cut = np.random.default_rng(seed), []
+        while len(cut) < 300:
+            a, b = (int(x) for x in rng.integers(350, 1100, 2))
+            if 350 <= 2048 - a - b <= 1100:
+                cut += [a, b, 2048 - a - b]
+        sizes = rng.permutation(np.array(cut))
+        assert len(evolve(sizes, [], 2048, seed)) < len(packing.plain(sizes, 2048))
+
+
+def test_exchange_keeps_items_and_capacity():
+    sizes = sizes_of(60)
+    bins = [[0, 1], [2, 3, 4], [5]]
+    room = [2048 - int(sizes[b].sum()) for b in bins]
+    rest = packing.exchange(bins, room, list(range(6, 60)), sizes)
+    assert sorted([i for b in bins for i in b] + rest) == list(range(60))
+    assert room == [2048 - int(sizes[b].sum()) for b in bins] and min(room) >= 0
