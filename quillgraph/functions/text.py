@@ -124,7 +124,7 @@ def edge_key(src: Column, rel: Column, dst: Column) -> Column:
 
 def salvaged_json(c: Column) -> Column:
     """The JSON inside an answer: a fenced block, else from the first { to the last }; null if it doesn't parse."""
-    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
     braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
     body = F.when(F.trim(fenced) != "", F.trim(fenced)).otherwise(braces)
     return F.when(F.get_json_object(body, "$").isNotNull(), body)

@@ -62,7 +62,7 @@ def test_citations_and_scores(spark):
     assert sorted((r.answer_id, r.idx, r.chunk_id, r.valid) for r in A.citations(answers).collect()) == [("a1", 2, "c2", True), ("a1", 9, None, False)]
     questions = spark.createDataFrame([("q1", "t", ["甲"], False), ("q2", "t", [], True)], "id string, qtype string, gold_entities array<string>, expect_refusal boolean")
     got = {r.answer_id: (r.refused, r.correct, r.refusal_correct, r.false_refusal) for r in A.scored(answers, questions).collect()}
-    assert got == {"a1": (False, 1.0, None, 0.0), "a2": (True, None, 1.0, None), "a3": (True, 1.0, None, 0.0)}
+    assert got == {"a1": (False, 1.0, None, 0.0), "a2": (True, 1.0, 1.0, None), "a3": (True, 1.0, None, 0.0)}
 
 
 def test_files(spark, tmp_path):
@@ -80,7 +80,7 @@ def test_files(spark, tmp_path):
         (folder / f"{name}.md").write_text(f"---\nname: {name}\n{base}---\n# system\nBe brief.\n\n# user\n{{question}}\n")
     prompts = D.read_prompts(spark, str(tmp_path / "prompts" / "*" / "*.md"))
     assert sorted((r.id, r.base, r.system, r.user) for r in prompts.collect()) == [("answer/v1", None, "Be brief.", "{question}"), ("answer/v2", "answer/v1", "Be brief.", "{question}")]
-    assert {r.id: (r.root, r.steps) for r in D.lineage(prompts, 3).collect()} == {"answer/v1": ("answer/v1", 0), "answer/v2": ("answer/v1", 1)}
+    assert {r.id: (r.root, r.steps) for r in D.lineage(prompts).collect()} == {"answer/v1": ("answer/v1", 0), "answer/v2": ("answer/v1", 1)}
 
 
 def test_cache(spark):
