@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,20 @@ def title_entity(title: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
 def facts(documents: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """documents(id, doc_type, title, text) -> id, relation, subject, object, evidence for every match of the page's rules.
 
-    One scan; the rules are a column. Facts without a subject or object are left out.
+    One scan; every pattern is a constant and is compiled once. Facts without a subject or object are left out.
     """
-    table = F.array(*(F.struct(F.lit(t).alias("scope"), F.lit(r).alias("relation"), F.lit(p).alias("pattern")) for t, r, p in rules))
     scope = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in KIN.items() for x in pair)), F.col("doc_type")), F.col("doc_type"))
     rows = documents.where(F.length("text") > 0).select("id", "text", title_entity(F.col("title")).alias("me"), scope.alias("scope"))
-    rows = rows.select("id", "text", "me", F.explode(F.filter(table, lambda r: r["scope"] == F.col("scope"))).alias("r"))
-    found = lambda k: F.regexp_extract_all("text", F.col("r.pattern"), F.lit(k))
-    hits = rows.select("id", "me", F.col("r.relation").alias("relation"), F.explode(F.arrays_zip(found(1).alias("s"), found(2).alias("o"), found(0).alias("e"))).alias("m"))
+    none = F.array().cast("array<struct<relation:string,s:string,o:string,e:string>>")
+
+    def of(kind: str, relation: str, pattern: str) -> Column:
+        # a text without the pattern's longest constant part can't match: a cheap test before a search that may be dear
+        sure = max(re.split(r"\(\)|\(?\[\^[^\]]*\]\+\)?", pattern), key=len)
+        found = [F.regexp_extract_all("text", F.lit(pattern), F.lit(k)) for k in (1, 2, 0)]
+        hits = F.transform(F.arrays_zip(found[0].alias("s"), found[1].alias("o"), found[2].alias("e")), lambda m: F.struct(F.lit(relation).alias("relation"), m["s"].alias("s"), m["o"].alias("o"), m["e"].alias("e")))
+        return F.when((F.col("scope") == kind) & F.contains("text", F.lit(sure)), hits).otherwise(none)
+
+    hits = rows.select("id", "me", F.explode(F.flatten(F.array(*(of(*r) for r in rules)))).alias("m")).select("id", "me", F.col("m.relation").alias("relation"), "m")
     end = lambda c: F.when(F.col(c) == "", F.col("me")).otherwise(F.trim(c))
     out = hits.select("id", "relation", end("m.s").alias("subject"), end("m.o").alias("object"), F.col("m.e").alias("evidence"))
     return out.where("subject <> '' and object <> ''").distinct()

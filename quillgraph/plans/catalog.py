@@ -376,9 +376,10 @@ def extraction_prf(s, d):
 
 @query
 def dq_missing_gold(s, d):
-    q = table(s, d, "eval_set").where("not expect_refusal").select("id", "gold_docs")
-    lost = q.select("id", F.explode("gold_docs").alias("doc")).join(documents(s, d).select(F.col("id").alias("doc")), "doc", "left_anti").select("id", F.lit("unknown document").alias("fault"))
-    return lost.unionByName(q.where("coalesce(size(gold_docs), 0) = 0").select("id", F.lit("no document").alias("fault"))).distinct()
+    """By type: questions with an answer, those without a document, the documents they name and how many of these exist."""
+    q = table(s, d, "eval_set").where("not expect_refusal").select("id", "qtype", F.explode_outer("gold_docs").alias("doc"))
+    rows = q.join(documents(s, d).select(F.col("id").alias("doc"), F.lit(1).alias("known")), "doc", "left")
+    return rows.groupBy("qtype").agg(F.countDistinct("id").alias("questions"), F.count_if(F.col("doc").isNull()).alias("without"), F.count("doc").alias("named"), F.count("known").alias("existing"))
 
 
 @query

@@ -368,11 +368,11 @@ def runs_compared(s, d):
     rows = A.fully_scored(C.answers(s, d), table(s, d, "eval_set"), C.entities(s, d)).groupBy("question_id", "qtype", "prompt_id").agg(F.max("correct").alias("correct"), F.avg("cost_usd").alias("cost"))
     side = lambda p, n: rows.where(F.col("prompt_id") == p).select("question_id", "qtype", F.col("correct").alias(f"{n}_correct"), F.col("cost").alias(f"{n}_cost"))
     both = side("answer/v1_naive", "old").join(side("answer/v3_guarded", "new").drop("qtype"), "question_id")
-    return both.groupBy("qtype", "old_correct", "new_correct").agg(F.count("*").alias("questions"), F.round(F.sum(F.col("new_cost") - F.col("old_cost")), 6).alias("more_cost"))
+    return both.groupBy("qtype", "old_correct", "new_correct").agg(F.count("*").alias("questions"), F.round(F.sum(F.col("new_cost") - F.col("old_cost")), 4).alias("more_cost"))
 
 
 SQL["runs_compared"] = f"""{FULL}, p AS (SELECT question_id, qtype, prompt_id, max(correct) AS correct, avg(cost_usd) AS cost FROM full_score GROUP BY ALL)
-    SELECT o.qtype, o.correct AS old_correct, n.correct AS new_correct, count(*) AS questions, round(sum(n.cost - o.cost), 6) AS more_cost FROM p o JOIN p n USING (question_id) WHERE o.prompt_id = 'answer/v1_naive' AND n.prompt_id = 'answer/v3_guarded' GROUP BY ALL"""
+    SELECT o.qtype, o.correct AS old_correct, n.correct AS new_correct, count(*) AS questions, round(sum(n.cost - o.cost), 4) AS more_cost FROM p o JOIN p n USING (question_id) WHERE o.prompt_id = 'answer/v1_naive' AND n.prompt_id = 'answer/v3_guarded' GROUP BY ALL"""
 
 
 @query

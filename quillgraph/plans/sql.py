@@ -211,8 +211,8 @@ SQL: dict[str, str] = {
         j AS (SELECT coalesce(a.relation, b.relation) AS relation, a.f, b.g FROM a FULL JOIN b ON a.relation = b.relation AND a.subject = b.subject AND a.object = b.object),
         c AS (SELECT relation, count(f) AS found, count(g) AS gold, count(*) FILTER (f IS NOT NULL AND g IS NOT NULL) AS "right" FROM j GROUP BY relation)
         SELECT *, round(coalesce("right" / nullif(found, 0), 0), 6) AS precision, round(coalesce("right" / nullif(gold, 0), 0), 6) AS recall, round(2 * "right" / (found + gold), 6) AS f1 FROM c""",
-    "dq_missing_gold": """WITH q AS (SELECT id, gold_docs FROM eval_set WHERE NOT expect_refusal) SELECT DISTINCT id, 'unknown document' AS fault FROM (SELECT id, unnest(gold_docs) AS doc FROM q) WHERE doc NOT IN (SELECT id FROM documents)
-        UNION SELECT id, 'no document' FROM q WHERE coalesce(len(gold_docs), 0) = 0""",
+    "dq_missing_gold": """WITH q AS (SELECT id, qtype, gold_docs FROM eval_set WHERE NOT expect_refusal), u AS (SELECT id, qtype, unnest(gold_docs) AS doc FROM q UNION ALL SELECT id, qtype, NULL FROM q WHERE coalesce(len(gold_docs), 0) = 0)
+        SELECT qtype, count(DISTINCT u.id) AS questions, count(*) FILTER (doc IS NULL) AS without, count(doc) AS named, count(d.id) AS existing FROM u LEFT JOIN documents d ON d.id = u.doc GROUP BY qtype""",
     "dq_gold_entity_absent": """WITH q AS (SELECT * FROM eval_set WHERE NOT derived AND NOT expect_refusal), p AS (SELECT id, unnest(gold_entities) AS entity, gold_docs FROM q), r AS (SELECT id, entity, unnest(gold_docs) AS doc FROM p)
         SELECT r.id, entity FROM r JOIN documents d ON d.id = r.doc GROUP BY ALL HAVING NOT bool_or(contains(coalesce(text, ''), entity))""",
     "dq_split_leak": "SELECT question, count(DISTINCT split) AS splits, count(*) AS rows FROM eval_set WHERE question IS NOT NULL GROUP BY question HAVING count(DISTINCT split) > 1",
