@@ -9,7 +9,8 @@ Only texts over the limit travel to Python (Arrow batches); the length filter ru
 shuffle of documents.
 
 Edge cases: null and empty texts and those within the limit give no piece; a text without any boundary is cut every
-`limit` characters (never between a character and its combining mark, if the limit allows); repeated rows of chunks
+`limit` characters (never between a character and its combining mark, if the limit allows; an overlap that would begin
+with such a mark is longer by the marks and their character); repeated rows of chunks
 give their pieces once; further columns of the input are ignored.
 """
 
@@ -76,7 +77,11 @@ def cut_section(text: str, start: int, end: int, limit: int, overlap: int) -> li
             if _joined(text, stop):
                 stop = most
         spans.append((at, stop))
-        at = stop - overlap
+        # the shared part begins with a whole character: it grows by the marks that would be cut off theirs
+        begin = stop - overlap
+        while begin > at + 1 and _joined(text, begin):
+            begin -= 1
+        at = stop - overlap if _joined(text, begin) else begin
     return [*spans, (at, end)]
 
 

@@ -57,3 +57,13 @@ def test_very_long():
     random.seed(1)
     text = "".join(random.choice("甲乙丙丁。\n") for _ in range(200_000))
     assert rebuilt(pieces(text)) == text
+
+
+def test_pieces_begin_with_whole_characters():
+    import unicodedata
+
+    text = "e\u0301" * 1500
+    cut = pieces(text)
+    assert all(not unicodedata.combining(p[0]) for _, _, p in cut) and all(len(p) <= 400 for _, _, p in cut)
+    assert all(a + len(p) - b in (60, 61) for (a, _, p), (b, _, _) in zip(cut, cut[1:], strict=False))
+    assert text == "".join([cut[0][2], *(p[a + len(q) - b :] for (a, _, q), (b, _, p) in zip(cut, cut[1:], strict=False))])
