@@ -3,8 +3,8 @@
 1. Distinct spellings are parsed: look-alikes, style of characters, honorifics, edition marks and separators are folded; the
    kind (a suffix such as a club or a castle, with its synonyms) and a generation or number mark are split off and must be
    equal for a match; what is left is a given and a family part, in Chinese characters or in letters. The order of the
-   parts is decided by how often a character begins or ends names (a table learnt from a bounded sample, as is the table
-   of syllables that turns Chinese parts into letters).
+   parts is decided by how often a character begins or ends names (a table learnt from all records, as is the table
+   of syllables that turns Chinese parts into letters; both hold one entry a character, all that reaches the driver).
 2. Metric-space partitioning. Edit distance is a metric, but between unrelated names it is almost constant, so that a few
    distant pivots can't separate them. Every name is therefore a pivot of a cell of radius 0, and a name is replicated
    into the cells of the pivots within the join radius: by the triangle inequality these hold all its partners. The pivots
@@ -27,23 +27,23 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.lookalikes import FOREIGN, IS_IGNORABLE, LATIN
 from quillgraph.llm.text import TO_SIMPLIFIED
-from quillgraph.plans import written
+from quillgraph.plans import bounded_broadcast, written
 from quillgraph.sources import table
 
 #: Added to the weight of a name in letters that a name in characters is read as.
 HEAVY = 1_000_000
 #: Shows are a fixed dimension, compared with every spelling; more than this are refused.
 SHOWS = 100_000
-#: Records from which the tables of syllables and positions are learnt.
-SAMPLE = 20_000
+#: Rounds in which syllables are learnt, the unit in which shares are added up, and weights up to which a join may broadcast them.
+ROUNDS, UNIT, WEIGHTS = 4, 1 << 30, 100_000
 #: Kinds of groups, places and things with their synonyms in both languages.
 KINDS = {
     "sailing": ("航海协会", "航海会", "Sailing Society"), "salvage": ("拾荒者团", "拾荒团", "Salvage Crew"), "choir": ("合唱团", "合唱队", "Choir"),
@@ -128,23 +128,27 @@ def _segments(word: str, n: int) -> list[tuple[str, ...]]:
     return out
 
 
+def spoken(name: str, aliases: Iterable[str] | None) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Of a record: each character of its Chinese names with g or f for the part it stands in; parts in characters and in letters."""
+    forms = [folded(x) for x in (name, *(() if aliases is None else aliases)) if x]
+    chinese = [m for f in forms if (m := re.fullmatch(f"([{CJK}]{{2,3}})·([{CJK}]{{3}})", f))]
+    latin = [m for f in forms if (m := re.fullmatch(r"([A-Za-z]{4,}) ([A-Za-z]{4,})", f))]
+    stands = [(c, which) for m in chinese for k, which in ((1, "g"), (2, "f")) for c in m.group(k)]
+    return stands, [(chinese[0].group(k), latin[0].group(k).lower()) for k in (1, 2)] if chinese and latin else []
+
+
 def learn(records: list[tuple[str, list[str]]]) -> Tables:
     """Tables from (name, aliases) of records that spell one name in both scripts."""
     pairs: list[tuple[str, str]] = []
     places: dict[str, Counter] = defaultdict(Counter)
     for name, aliases in records:
-        forms = [folded(x) for x in (name, *(aliases or [])) if x]
-        chinese = [m for f in forms if (m := re.fullmatch(f"([{CJK}]{{2,3}})·([{CJK}]{{3}})", f))]
-        latin = [m for f in forms if (m := re.fullmatch(r"([A-Za-z]{4,}) ([A-Za-z]{4,})", f))]
-        for m in chinese:
-            for part, which in ((m.group(1), "g"), (m.group(2), "f")):
-                for c in part:
-                    places[c][which] += 1
-        if chinese and latin:
-            pairs += [(chinese[0].group(k), latin[0].group(k).lower()) for k in (1, 2)]
+        stands, parts = spoken(name, aliases)
+        for c, which in stands:
+            places[c][which] += 1
+        pairs += parts
     options = [(c, s) for c, w in pairs if (s := _segments(w, len(c)))]
     weight: dict[tuple[str, str], float] = defaultdict(lambda: 1.0)
-    for _ in range(4):
+    for _ in range(ROUNDS):
         counts: Counter = Counter()
         for chars, ways in options:
             shares = [1.0] * len(ways)
@@ -167,6 +171,49 @@ def learn(records: list[tuple[str, list[str]]]) -> Tables:
     return Tables({c: x for c, (_, x) in best.items()}, given)
 
 
+def learnt(records: DataFrame) -> Tables:
+    """The tables of `learn` from all records(name, aliases).
+
+    Equal parts are counted first, the rounds are joins and aggregations; the driver gets one row for each character of `CJK`.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for name, aliases in zip(batch["name"], batch["aliases"], strict=True):
+                for found in spoken(name, aliases):
+                    seen.update(found)
+            yield pd.DataFrame([(*what, n) for what, n in seen.items()], columns=["chars", "word", "n"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(chars, word, n, way) for chars, word, n in batch.itertuples(index=False) for way in _segments(word, len(chars))]
+            yield pd.DataFrame(rows, columns=["chars", "word", "n", "way"])
+
+    def by_character(ways: DataFrame, *more: F.Column | str) -> DataFrame:
+        return ways.select("*", F.posexplode("way").alias("place", "x")).select(*more, "place", F.expr("substring(chars, place + 1, 1)").alias("c"), "x")
+
+    whole = records.where("name <> '' and size(aliases) > 0").select("name", "aliases")
+    seen = written(whole.mapInPandas(read, "chars string, word string, n long").groupBy("chars", "word").agg(F.sum("n").alias("n")), "seen")
+    # a word has four letters at least
+    ways = written(seen.where("length(word) > 1").mapInPandas(split, "chars string, word string, n long, way array<string>"), "ways")
+    weights = None
+    for _ in range(ROUNDS):
+        shares = ways.withColumn("share", F.lit(1.0))
+        if weights is not None:
+            held = by_character(ways, "chars", "word", "n", "way").join(bounded_broadcast(weights, WEIGHTS), ["c", "x"]).repartition("chars", "word")
+            at = [F.coalesce(F.max(F.when(F.col("place") == k, F.col("weight"))), F.lit(1.0)) for k in range(3)]
+            shares = held.groupBy("chars", "word", "n", "way").agg((at[0] * at[1] * at[2]).alias("share"))
+        part = F.col("n") * F.greatest(F.lit(1), F.round(F.col("share") / F.sum("share").over(Window.partitionBy("chars", "word")) * UNIT).cast("long"))
+        counts = by_character(shares.withColumn("part", part), "part").groupBy("c", "x").agg(F.sum("part").alias("part"))
+        weights = written(counts.withColumn("weight", F.col("part") / F.sum("part").over(Window.partitionBy("c"))), "weights")
+    n = F.round(F.col("part") / UNIT, 6)
+    best = weights.where(n >= 2).groupBy("c").agg(F.min(F.struct((-n).alias("n"), "x")).alias("best")).select("c", "best.x").collect()
+    own = F.sum(F.when(F.col("word") == "g", F.col("n")).otherwise(0))
+    places = seen.where("length(word) = 1").groupBy("chars").agg(own.alias("g"), F.sum("n").alias("all")).collect()
+    return Tables({r.c: r.x for r in best}, {r.chars: (r.g + 0.5) / (r.all + 1) for r in places})
+
+
 def parse(name: str, tables: Tables) -> tuple[str, str, str, str, str]:
     """(form, kind, mark, given, family) of a spelling. Forms: chinese, latin, initial, nick, clipped, other."""
     t = folded(name)
@@ -410,8 +457,7 @@ def same_entities(records: DataFrame, ends: DataFrame, shows: DataFrame) -> Data
     spark = records.sparkSession
     records = records.select("id", "name", "aliases")
     ends = ends.where("name <> ''").select("key", "name")
-    bilingual = records.where("size(aliases) > 0").orderBy(F.xxhash64("id")).limit(SAMPLE)
-    tables = learn([(r.name, list(r.aliases)) for r in bilingual.select("name", "aliases").collect() if r.name])
+    tables = learnt(records)
     spellings = records.where("name <> ''").select("name").union(ends.select("name")).groupBy("name").agg(F.count("*").alias("n"))
     aliases = records.where("name <> ''").select("id", "name", F.explode("aliases").alias("alias")).distinct()
     entity, own = entities_of(spellings, tables, aliases)

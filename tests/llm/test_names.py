@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm.names import Tables, folded, learn, near, parse, same_entities, show_of
 
@@ -116,3 +117,29 @@ def test_leads_are_followed_to_their_end(spark):
     rows = [("c", "abcdef", 9), ("c", "abcdeg", 5), ("c", "abcdhg", 2), ("c", "zzzzzz", 1), ("d", "abcdeg", 1)]
     out = {(r.cell, r.text): r.lead for r in followed(spark.createDataFrame(rows, "cell string, text string, weight long")).collect()}
     assert out == {("c", "abcdef"): "abcdef", ("c", "abcdeg"): "abcdef", ("c", "abcdhg"): "abcdef", ("c", "zzzzzz"): "zzzzzz", ("d", "abcdeg"): "abcdeg"}
+
+
+def test_records_stay_off_the_driver(spark, monkeypatch):
+    """What teaches the tables is collected by character, not by record."""
+    from quillgraph.llm import names as module
+
+    class Learnt(Exception):
+        pass
+
+    def stop(spellings, tables, listed):
+        raise Learnt
+
+    records = spark.createDataFrame([(f"E{k}", a, [b]) for k, (a, b) in enumerate(names(60) * 20)], "id string, name string, aliases array<string>")
+    kind, sizes = type(records), []
+    collect = kind.collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(kind, "collect", counted)
+    monkeypatch.setattr(module, "entities_of", stop)
+    with pytest.raises(Learnt):
+        same_entities(records, spark.createDataFrame([], "key string, name string"), records.limit(0))
+    assert sizes and max(sizes) <= len(GIVEN) + len(FAMILY)
