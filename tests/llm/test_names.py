@@ -143,3 +143,20 @@ def test_records_stay_off_the_driver(spark, monkeypatch):
     with pytest.raises(Learnt):
         same_entities(records, spark.createDataFrame([], "key string, name string"), records.limit(0))
     assert sizes and max(sizes) <= len(GIVEN) + len(FAMILY)
+
+
+def test_all_records_teach_the_tables(spark):
+    """A character that stands only behind 20,100 other records, in the order in which a bounded number was once drawn, is learnt."""
+    people = names(60)
+    *first, last = (r.id for r in spark.range(61).selectExpr("'E' || id AS id").orderBy(F.xxhash64("id")).collect())
+    rows = [(i, a, [b]) for i, (a, b) in zip(first, people, strict=True)] * 335 + [(last, "珂巴卡·川冬枫", ["Kebaka Chuandongfeng"])] * 3
+    records = spark.createDataFrame([*rows, ("x", None, ["Abaka"]), ("y", "Kebaka Chuandongfeng", None)], "id string, name string, aliases array<string>")
+    out = {tuple(r) for r in same_entities(records, spark.createDataFrame([], "key string, name string"), records.limit(0)).collect()}
+    assert out == {(last, "y")}
+
+    from quillgraph.llm.names import learnt
+
+    found, want = learnt(records), learn([r[1:] for r in rows])
+    assert found.syllables == want.syllables == GIVEN | FAMILY | {"珂": "ke"} and found.given == want.given
+    nothing = learnt(records.limit(0))
+    assert nothing.syllables == nothing.given == {}
