@@ -42,6 +42,8 @@ CELL_BITS, BLOCK = 20, 512
 QUESTIONS, REFUSED = 4, 0.5
 #: Size of the hashed table of endings: the proven bound of what is collected and broadcast.
 BUCKETS = 1 << 22
+#: Cells of a hashed table that reach the driver in one row.
+CELLS = 1 << 12
 #: Endings seen less often than this say nothing.
 SEEN = 3
 #: Least share of stops after an ending that counts as complete, and as complete though the result says it was cut.
@@ -217,6 +219,30 @@ def tail(text: str) -> str:
         t = u
 
 
+def gathered(counts: DataFrame, size: int, kind: type, least: int = 1) -> np.ndarray:
+    """counts(at, one column or more, several rows a cell) -> the sums in a table of `size` cells, a row for each column.
+
+    Cells whose first column is under `least` stay 0. The executors add up and fill the table, so that the driver gets its bytes
+    in rows of `CELLS`, never a row for each cell.
+    """
+    names = [c for c in counts.columns if c != "at"]
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table_ = np.zeros((len(names), size), kind)
+        for batch in batches:
+            for row, name in zip(table_, names, strict=True):
+                row[batch["at"].to_numpy()] = batch[name].to_numpy()
+        cells = table_.reshape(len(names), -1, CELLS)
+        for block in np.flatnonzero(cells.any(axis=(0, 2))):
+            yield pd.DataFrame({"block": np.int32([block]), "cells": [cells[:, block].tobytes()]})
+
+    sums = counts.withColumn("block", F.expr(f"at div {CELLS}")).repartition("block").groupBy("block", "at").agg(*(F.sum(c).alias(c) for c in names))
+    out = np.zeros((len(names), size), kind)
+    for r in sums.where(F.col(names[0]) >= least).select("at", *names).mapInPandas(fill, "block int, cells binary").collect():
+        out[:, r.block * CELLS : (r.block + 1) * CELLS] = np.frombuffer(r.cells, kind).reshape(len(names), CELLS)
+    return out
+
+
 def count_endings(texts: DataFrame) -> np.ndarray:
     """Hashed counts of character runs (row 0) and of those before a stop (row 1) over all texts(text)."""
 
@@ -241,19 +267,7 @@ def count_endings(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total[0])
         yield pd.DataFrame({"at": at.astype(np.int32), "n": total[0][at], "stops": total[1][at]})
 
-    rows = (
-        texts.where(F.length("text") > 0)
-        .select("text")
-        .mapInPandas(count, "at int, n long, stops long")
-        .groupBy("at")
-        .agg(F.sum("n").alias("n"), F.sum("stops").alias("stops"))
-        .where(F.col("n") >= SEEN)
-        .toPandas()
-    )
-    out = np.zeros((2, BUCKETS), np.float32)
-    out[0, rows["at"].to_numpy()] = rows["n"].to_numpy()
-    out[1, rows["at"].to_numpy()] = rows["stops"].to_numpy()
-    return out
+    return gathered(texts.where(F.length("text") > 0).select("text").mapInPandas(count, "at int, n long, stops long"), BUCKETS, np.float32, SEEN)
 
 
 def completeness(text: str, gold: str | None, counts: np.ndarray) -> float:
@@ -336,10 +350,7 @@ def _counted(classes: DataFrame, cells_of: Callable[[Iterable[str]], np.ndarray]
         at = np.flatnonzero(total)
         yield pd.DataFrame({"at": at.astype(np.int32), "n": total[at]})
 
-    rows = classes.select("opening").mapInPandas(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return out
+    return gathered(classes.select("opening").mapInPandas(count, "at int, n long"), 1 << CELL_BITS, np.int64)[0]
 
 
 def _linked(keys: np.ndarray, short: np.ndarray, long: np.ndarray, texts: np.ndarray) -> list[tuple[int, int]]:

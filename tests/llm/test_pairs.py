@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from quillgraph.llm import pairs
 from quillgraph.llm.pairs import completeness, count_endings, defects, folded, is_copy, is_empty, language, links, opening, templates, tokens
 
 TEXTS = ["", "  ​", "……", "[1]", "[2][3]", "答：", "-", "\n\n[4]", None, " ", "Answer:"]
@@ -98,3 +100,27 @@ def test_blocks_lose_no_link(spark):
         while more := {x for ends in found if reached & set(ends) for x in ends} - reached:
             reached |= more
         assert reached == set(range(60)), size
+
+
+def test_count_tables_reach_the_driver_in_blocks(spark, monkeypatch):
+    """However many endings and triples there are, the driver gets no row for each; the counts are those of all texts."""
+    draw = random.Random(7)
+    texts = ["".join(chr(0x4E00 + draw.randrange(20_000)) for _ in range(300)) + "。" for _ in range(60)] * 3
+    frame, sizes = spark.createDataFrame([(t,) for t in texts], "text string"), []
+    kind = type(frame)
+    for name in ("collect", "toPandas"):
+
+        def counted(self, own=getattr(kind, name)):
+            rows = own(self)
+            sizes.append(len(rows))
+            return rows
+
+        monkeypatch.setattr(kind, name, counted)
+    counts = count_endings(frame)
+    triples = pairs._counted(frame.selectExpr("text AS opening"), lambda own: pairs._cells(pairs.grams(own)[1]))
+    assert len(sizes) >= 2 and max(sizes) <= 1024
+    # of 300 characters that follow one another 300, 299, 298 and 296 end a run of 1, 2, 3 and 5, and the last of each stands before a stop
+    assert counts.dtype == np.float32 and counts[0].sum() == 180 * (300 + 299 + 298 + 296) and counts[1].sum() == 180 * 4
+    assert triples.sum() == sum(len(set(zip(t, t[1:], t[2:], strict=False))) for t in texts)
+    assert (triples == np.bincount(pairs._cells(pairs.grams(texts)[1]), minlength=len(triples))).all()
+    assert count_endings(frame.limit(0)).sum() == 0
