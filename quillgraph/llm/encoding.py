@@ -10,11 +10,12 @@ lost; a text in which a run of them stands beside other debris counts as affecte
 
 A chain is left out for a text only if it can't apply: masks made from the code tables say whether any stretch of the text
 is well-formed, and chains that are well-formed everywhere (between two double-byte or two single-byte encodings) need a
-stretch, or a sign, that the model finds implausible. The margin is the least of `MARGINS` that leaves a bounded sample of
-clean records unchanged (`fitted_margin`); its recall on the same records garbled on purpose is reported with it.
+stretch, or a sign, that the model finds implausible. The margin is the least of `MARGINS` that changes hardly any of all clean
+records of the table (`validated`); `fitted_margin` reports the recall on some of them garbled on purpose.
 
-Three passes over the text: one trains (counts are summed per partition before the shuffle; the model is an array of fixed
-size, `BUCKETS` floats), one takes the sample, one scores. All are Arrow batches; texts are never shuffled.
+Two passes over the text: one trains (counts are summed per partition before the shuffle; the model is an array of fixed
+size, `BUCKETS` floats), one scores; each margin that changes too many clean records costs another. All are Arrow batches;
+texts are never shuffled.
 
 Edge cases: null and empty texts are never affected; the result has one row per doc_id and text, repeated rows collapse;
 without any clean record the model is flat and only damage marks count; further columns are ignored.
@@ -32,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.plans import written
 from quillgraph.sources import table
 
 #: Size of the hashed bigram table and of the character table: the proven bound of what is collected and broadcast.
@@ -42,8 +44,8 @@ BACKOFF = 2.0
 MARGIN_MEAN, MARGINS = 1.0, (8.0, 10.0, 12.0, 16.0)
 #: Least gain of a whole text between two single-byte encodings, as a multiple of the margin.
 LETTERS = 1.75
-#: Clean records on which the margin is validated, and the share of them that it may change.
-VALIDATION, CHANGED = 300, 0.01
+#: The share of all clean records that the validated margin may change.
+CHANGED = 0.01
 #: A stretch of at least this mean is plausible as it stands; a window under the other is not.
 PLAUSIBLE, IMPLAUSIBLE, WINDOW = -5.5, -8.5, 6
 #: A single letter under this is unlikely where it stands.
@@ -136,9 +138,10 @@ def stretches(where: np.ndarray | None, data: bytes, pattern: re.Pattern, wanted
 
 
 class Model:
-    """Smoothed character bigrams in arrays of fixed size."""
+    """Smoothed character bigrams in arrays of fixed size; records: how many texts they come from."""
 
-    def __init__(self, pairs: np.ndarray, chars: np.ndarray):
+    def __init__(self, pairs: np.ndarray, chars: np.ndarray, records: int = 0):
+        self.records = records
         total = chars.sum()
         self.chars = ((chars + 0.05) / (total + 0.05 * CHARS)).astype(np.float32)
         self.counts, self.pairs = chars.astype(np.float32), pairs.astype(np.float32)
@@ -285,14 +288,15 @@ def train(texts: DataFrame) -> Model:
     """The model of the clean records of texts(text)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, chars = np.zeros(BUCKETS, np.int64), np.zeros(CHARS, np.int64)
+        pairs, chars, records = np.zeros(BUCKETS, np.int64), np.zeros(CHARS, np.int64), np.zeros(1, np.int64)
         for batch in batches:
             texts = [t for t in batch["text"] if t]
-            clean = "\n".join(t for t, bad in zip(texts, suspicions(texts), strict=True) if not bad)
-            c = codes("\n" + clean + "\n")
+            clean = [t for t, bad in zip(texts, suspicions(texts), strict=True) if not bad]
+            records += len(clean)
+            c = codes("\n" + "\n".join(clean) + "\n")
             pairs += np.bincount(hashed(c), minlength=BUCKETS)
             chars += np.bincount(c[:-1] & (CHARS - 1), minlength=CHARS)
-        for kind, counts in ((0, pairs), (1, chars)):
+        for kind, counts in ((0, pairs), (1, chars), (2, records)):
             at = np.flatnonzero(counts)
             yield pd.DataFrame({"kind": np.int32(kind), "at": at.astype(np.int32), "n": counts[at]})
 
@@ -309,7 +313,7 @@ def train(texts: DataFrame) -> Model:
         counts = np.zeros(size)
         counts[own["at"].to_numpy()] = own["n"].to_numpy()
         arrays.append(counts)
-    return Model(*arrays)
+    return Model(*arrays, int(rows.loc[rows["kind"] == 2, "n"].sum()))
 
 
 def unlikely_signs(c: np.ndarray, each: np.ndarray) -> np.ndarray:
@@ -460,10 +464,10 @@ def fitted_margin(model: Model, texts: list[str]) -> tuple[float, float, float]:
     return margin, changed, sum(bool(restore(t, model, margin=margin)[2]) for t in bad) / max(1, len(bad))
 
 
-def mend(documents: DataFrame, model: Model, margin: float = MARGINS[0]) -> DataFrame:
-    """documents(doc_id, text) -> the affected rows: doc_id, chains, stretches, whole (nothing stays lost), restored."""
+def judged(documents: DataFrame, model: Model, margin: float) -> DataFrame:
+    """The rows of `mend`, and whether each counts as clean."""
     shared = documents.sparkSession.sparkContext.broadcast((model.pairs, model.counts))
-    schema = "doc_id long, chains string, stretches int, whole boolean, restored string"
+    schema = "doc_id long, chains string, stretches int, whole boolean, restored string, clean boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
@@ -473,17 +477,32 @@ def mend(documents: DataFrame, model: Model, margin: float = MARGINS[0]) -> Data
                 key, text = keys[k], texts[k]
                 restored, used, n = restore(text, own, margin=margin)
                 if n or len(DEBRIS.findall(text)) >= 2:
-                    rows.append((key, ",".join(used), n, not DEBRIS.search(restored), restored))
-            yield pd.DataFrame(rows, columns=["doc_id", "chains", "stretches", "whole", "restored"])
+                    rows.append((key, ",".join(used), n, not DEBRIS.search(restored), restored, not suspicious(text)))
+            yield pd.DataFrame(rows, columns=["doc_id", "chains", "stretches", "whole", "restored", "clean"])
 
     return documents.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def mend(documents: DataFrame, model: Model, margin: float = MARGINS[0]) -> DataFrame:
+    """documents(doc_id, text) -> the affected rows: doc_id, chains, stretches, whole (nothing stays lost), restored."""
+    return judged(documents, model, margin).drop("clean")
+
+
+def validated(documents: DataFrame, model: Model) -> DataFrame:
+    """`mend` with the least of `MARGINS` that changes hardly any of the clean records that the model is trained on.
+
+    The changes are counted in the result itself, which is computed once if the first margin holds.
+    """
+    for margin in MARGINS:
+        out = written(judged(documents, model, margin), "mended")
+        if out.where("clean and stretches > 0").count() <= CHANGED * model.records:
+            break
+    return out.drop("clean")
+
+
 def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(documents)
-    sample = documents.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id", F.lit(9))).limit(VALIDATION).select("text").collect()
-    return mend(documents, model, fitted_margin(model, [r.text for r in sample])[0])
+    return validated(documents, train(documents))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

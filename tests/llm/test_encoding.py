@@ -3,6 +3,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import encoding
 from quillgraph.llm.encoding import mend, restore, suspicious, train
@@ -116,3 +117,23 @@ def test_margin_is_validated():
 
     margin, changed, recall = E.fitted_margin(western_model(), [GERMAN, FRENCH] * 40)
     assert margin == E.MARGINS[0] and changed == 0.0 and recall > 0.6
+
+
+def test_the_margin_is_validated_on_all_records(spark, tmp_path, monkeypatch):
+    """Changed records count wherever they stand in the table, also behind the 300 that were once drawn by this order."""
+    from quillgraph.llm import encoding as E
+
+    ids = [r.id for r in spark.range(310).orderBy(F.xxhash64("id", F.lit(9))).collect()]
+    texts = [(GERMAN + FRENCH) * 20] * 306 + [E.garbled(GERMAN, seen, true) for seen, true in (("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"), ("cp1251", "mac_roman"))]
+    assert not any(map(suspicious, texts[-4:]))
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def found():
+        return {r.doc_id: r.restored for r in E.p9_restored(spark, str(tmp_path)).collect()}
+
+    # four of 310 are too many for the first margin, and the next one changes none
+    monkeypatch.setattr(E, "MARGINS", (8.0, 1e6))
+    assert found() == {}
+    # for a greater share they aren't
+    monkeypatch.setattr(E, "CHANGED", 4 / 310)
+    assert found() == dict.fromkeys(ids[-4:], GERMAN)
