@@ -3,8 +3,9 @@
 1. Distinct spellings are parsed: look-alikes, style of characters, honorifics, edition marks and separators are folded; the
    kind (a suffix such as a club or a castle, with its synonyms) and a generation or number mark are split off and must be
    equal for a match; what is left is a given and a family part, in Chinese characters or in letters. The order of the
-   parts is decided by how often a character begins or ends names (a table learnt from all records, as is the table
-   of syllables that turns Chinese parts into letters; both hold one entry a character, all that reaches the driver).
+   parts is decided by how often a character begins or ends names (a table learnt from all records and triple ends, with or
+   without aliases; the table of syllables that turns Chinese parts into letters is learnt from all records that spell a
+   name in both scripts; both hold one entry a character, all that reaches the driver).
 2. Metric-space partitioning. Edit distance is a metric, but between unrelated names it is almost constant, so that a few
    distant pivots can't separate them. Every name is therefore a pivot of a cell of radius 0, and a name is replicated
    into the cells of the pivots within the join radius: by the triangle inequality these hold all its partners. The pivots
@@ -172,17 +173,18 @@ def learn(records: list[tuple[str, list[str]]]) -> Tables:
 
 
 def learnt(records: DataFrame) -> Tables:
-    """The tables of `learn` from all records(name, aliases).
+    """The tables of `learn` from all rows of records(name, aliases), also those without a name or without aliases.
 
-    Equal parts are counted first, the rounds are joins and aggregations; the driver gets one row for each character of `CJK`.
+    Equal rows and parts are counted first, the rounds are joins and aggregations; the driver gets one row for each character of `CJK`.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: Counter = Counter()
-            for name, aliases in zip(batch["name"], batch["aliases"], strict=True):
+            for name, aliases, n in zip(batch["name"], batch["aliases"], batch["n"], strict=True):
                 for found in spoken(name, aliases):
-                    seen.update(found)
+                    for what in found:
+                        seen[what] += n
             yield pd.DataFrame([(*what, n) for what, n in seen.items()], columns=["chars", "word", "n"])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +195,7 @@ def learnt(records: DataFrame) -> Tables:
     def by_character(ways: DataFrame, *more: F.Column | str) -> DataFrame:
         return ways.select("*", F.posexplode("way").alias("place", "x")).select(*more, "place", F.expr("substring(chars, place + 1, 1)").alias("c"), "x")
 
-    whole = records.where("name <> '' and size(aliases) > 0").select("name", "aliases")
+    whole = records.groupBy("name", "aliases").agg(F.count("*").alias("n"))
     seen = written(whole.mapInPandas(read, "chars string, word string, n long").groupBy("chars", "word").agg(F.sum("n").alias("n")), "seen")
     # a word has four letters at least
     ways = written(seen.where("length(word) > 1").mapInPandas(split, "chars string, word string, n long, way array<string>"), "ways")
@@ -457,7 +459,7 @@ def same_entities(records: DataFrame, ends: DataFrame, shows: DataFrame) -> Data
     spark = records.sparkSession
     records = records.select("id", "name", "aliases")
     ends = ends.where("name <> ''").select("key", "name")
-    tables = learnt(records)
+    tables = learnt(records.select("name", "aliases").unionByName(ends.select("name", F.lit(None).cast("array<string>").alias("aliases"))))
     spellings = records.where("name <> ''").select("name").union(ends.select("name")).groupBy("name").agg(F.count("*").alias("n"))
     aliases = records.where("name <> ''").select("id", "name", F.explode("aliases").alias("alias")).distinct()
     entity, own = entities_of(spellings, tables, aliases)

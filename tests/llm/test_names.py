@@ -160,3 +160,26 @@ def test_all_records_teach_the_tables(spark):
     assert found.syllables == want.syllables == GIVEN | FAMILY | {"珂": "ke"} and found.given == want.given
     nothing = learnt(records.limit(0))
     assert nothing.syllables == nothing.given == {}
+
+
+def test_records_without_aliases_and_ends_teach_the_positions(spark):
+    """A name without a separator, family part first, is read by what records without aliases, or triple ends alone, show."""
+    people = [a for a, _ in names(40)]
+    given, family = people[0].split("·")
+    turned = ("W", family + given, [])
+    kinds = "id string, name string, aliases array<string>"
+    none = spark.createDataFrame([], kinds)
+
+    def found(records, ends):
+        return {tuple(r) for r in same_entities(spark.createDataFrame(records, kinds), spark.createDataFrame(ends, "key string, name string"), none).collect()}
+
+    assert found([turned, *((f"E{k:03d}", a, [None, []][k % 2]) for k, a in enumerate(people))], []) == {("E000", "W")}
+    assert found([turned], [(f"T{k}:s", a) for k, a in enumerate(people)] * 2) == {("T0:s", "W")}
+
+
+def test_records_without_a_name_teach_the_tables(spark):
+    from quillgraph.llm.names import learnt
+
+    rows = [([None, ""][k % 2], [a, b]) for k, (a, b) in enumerate(names(60))] + [("珂巴卡·川冬枫", None), ("珂巴卡·川冬枫", None), (None, None)]
+    found, want = learnt(spark.createDataFrame(rows, "name string, aliases array<string>")), learn(rows)
+    assert found.syllables == want.syllables == GIVEN | FAMILY and found.given == want.given and found.given["珂"] > 0.8
