@@ -9,6 +9,7 @@ the rounds; they only set how fast the graph shrinks.
 
 Every step is a join or an aggregation on vertex keys with partial aggregation before the shuffle; a vertex with very many
 edges (one shared name) is a star whose minimum is pre-aggregated, never a list. Nothing is collected but counts.
+A caller may name a number of edges that one task may join; the levels then end as soon as no more are left.
 
 Edge cases: null ends are no link; a link of a vertex with itself puts it in a group of its own; repeated links and both
 directions count once; an empty table gives no groups; further columns are ignored.
@@ -16,8 +17,13 @@ directions count once; an empty table gives no groups; further columns are ignor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quillgraph.plans import written
 from quillgraph.sources import table
@@ -41,17 +47,44 @@ def grow(edges: DataFrame, level: int, rounds: int = ROUNDS) -> DataFrame:
     return labels.select("v", F.col("label.center").alias("center"))
 
 
-def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """links(a, b) -> vertex, component (one vertex of each component) for every vertex with a link."""
+def joined(edges: DataFrame) -> DataFrame:
+    """edges(a, b), few enough for one task -> v, center (the smallest vertex of its component)."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above: dict[object, object] = {}
+
+        def top(v: object) -> object:
+            while (up := above.setdefault(v, v)) != v:
+                above[v] = v = above[up]
+            return v
+
+        for a, b in chain.from_iterable(zip(batch["a"], batch["b"], strict=True) for batch in batches):
+            least, other = sorted((top(a), top(b)))
+            above[other] = least
+        yield pd.DataFrame([(v, top(v)) for v in list(above)], columns=["v", "center"])
+
+    kind = edges.schema["a"].dataType
+    return edges.coalesce(1).mapInPandas(join, StructType([StructField("v", kind), StructField("center", kind)]))
+
+
+def components(links: DataFrame, rounds: int = ROUNDS, few: int = 0) -> DataFrame:
+    """links(a, b) -> vertex, component (one vertex of each component) for every vertex with a link.
+
+    Once a level has at most `few` edges, both directions counted, one task joins them all, instead of the many small jobs of
+    the further levels, whose plans, stages and threads fill the driver's memory.
+    """
     links = links.where("a is not null and b is not null").select("a", "b")
     edges = written(links.union(links.select("b", "a")).where("a <> b").distinct(), "edges")
     assigned = written(links.select(F.col("a").alias("vertex")).union(links.select("b")).distinct().select("vertex", F.col("vertex").alias("component")), "assigned")
     level = 0
     while not edges.isEmpty():
-        clusters = written(grow(edges, level, rounds), "clusters")
+        last = few > 0 and edges.count() <= few
+        clusters = written(joined(edges) if last else grow(edges, level, rounds), "clusters")
         assigned = written(
             assigned.join(clusters.withColumnRenamed("v", "component"), "component", "left").select("vertex", F.coalesce("center", "component").alias("component")), "assigned"
         )
+        if last:
+            break
         edges = written(
             edges.join(clusters.select(F.col("v").alias("a"), F.col("center").alias("ca")), "a")
             .join(clusters.select(F.col("v").alias("b"), F.col("center").alias("cb")), "b")

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -38,6 +39,8 @@ from quillgraph.sources import table
 JACCARD = 0.8
 #: Size of the hashed counts of triples (as a power of two), and how many openings under one triple make a block.
 CELL_BITS, BLOCK = 20, 512
+#: So many edges between openings, both directions counted, are joined in one task.
+FEW = 1 << 18
 #: A refusal template stands with this many different questions, and this share of its known marks says refused.
 QUESTIONS, REFUSED = 4, 0.5
 #: Size of the hashed table of endings: the proven bound of what is collected and broadcast.
@@ -222,8 +225,8 @@ def tail(text: str) -> str:
 def gathered(counts: DataFrame, size: int, kind: type, least: int = 1) -> np.ndarray:
     """counts(at, one column or more, several rows a cell) -> the sums in a table of `size` cells, a row for each column.
 
-    Cells whose first column is under `least` stay 0. The executors add up and fill the table, so that the driver gets its bytes
-    in rows of `CELLS`, never a row for each cell.
+    Cells whose first column is under `least` stay 0. The executors add up and fill the table, so that the driver gets its bytes,
+    compressed, in rows of `CELLS`, never a row for each cell.
     """
     names = [c for c in counts.columns if c != "at"]
 
@@ -234,12 +237,12 @@ def gathered(counts: DataFrame, size: int, kind: type, least: int = 1) -> np.nda
                 row[batch["at"].to_numpy()] = batch[name].to_numpy()
         cells = table_.reshape(len(names), -1, CELLS)
         for block in np.flatnonzero(cells.any(axis=(0, 2))):
-            yield pd.DataFrame({"block": np.int32([block]), "cells": [cells[:, block].tobytes()]})
+            yield pd.DataFrame({"block": np.int32([block]), "cells": [zlib.compress(cells[:, block].tobytes(), 1)]})
 
     sums = counts.withColumn("block", F.expr(f"at div {CELLS}")).repartition("block").groupBy("block", "at").agg(*(F.sum(c).alias(c) for c in names))
     out = np.zeros((len(names), size), kind)
     for r in sums.where(F.col(names[0]) >= least).select("at", *names).mapInPandas(fill, "block int, cells binary").collect():
-        out[:, r.block * CELLS : (r.block + 1) * CELLS] = np.frombuffer(r.cells, kind).reshape(len(names), CELLS)
+        out[:, r.block * CELLS : (r.block + 1) * CELLS] = np.frombuffer(zlib.decompress(r.cells), kind).reshape(len(names), CELLS)
     return out
 
 
@@ -441,7 +444,7 @@ def templates(openings: DataFrame) -> DataFrame:
         F.count("refused").alias("known"),
     )
     classes = written(classes.withColumn("key", F.xxhash64("opening")), "openings")
-    joined = components(written(links(classes), "links")).select(F.col("vertex").alias("key"), "component")
+    joined = components(written(links(classes), "links"), few=FEW).select(F.col("vertex").alias("key"), "component")
     clustered = classes.join(joined, "key", "left").withColumn("template", F.coalesce("component", "key"))
     refusals = (
         clustered.groupBy("template")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from quillgraph.llm import grouping
 from quillgraph.llm.grouping import components, grouped
 
 
@@ -40,3 +41,21 @@ def test_grouped(spark):
     out = grouped(frame, spark.createDataFrame(links, "a string, b string")).collect()
     assert sorted((r.entity_id, r.group_id) for r in out) == [(x, "E1") for x in ("E1", "E2", "E3", "E7")]
     assert grouped(frame.limit(0), spark.createDataFrame(links, "a string, b string")).count() == 0
+
+
+@pytest.mark.parametrize("few", [1, 60, 1 << 10])
+def test_few_edges_are_joined_in_one_task(spark, monkeypatch, few):
+    """However the levels end, the components are whole; few edges make one table of clusters."""
+    r = random.Random(few)
+    pairs = [(r.randrange(150), r.randrange(150)) for _ in range(90)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(40)] + [(None, 5), (7, 7), (1001, 1000)]
+    labels, own = [], grouping.written
+
+    def counted(df, label="stage"):
+        labels.append(label)
+        return own(df, label)
+
+    monkeypatch.setattr(grouping, "written", counted)
+    for kind in ("long", "string"):
+        got = {x.vertex: x.component for x in components(spark.createDataFrame(pairs, "a long, b long").selectExpr(f"cast(a AS {kind}) a", f"cast(b AS {kind}) b"), few=few).collect()}
+        assert {int(v) for v in got} == set(union_find(pairs)) and same_partition({int(v): int(c) for v, c in got.items()}, union_find(pairs))
+    assert few < 1 << 10 or labels.count("clusters") == 2

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quillgraph.llm import pairs
+from quillgraph.llm import grouping, pairs
 from quillgraph.llm.pairs import completeness, count_endings, defects, folded, is_copy, is_empty, language, links, opening, templates, tokens
 
 TEXTS = ["", "  ​", "……", "[1]", "[2][3]", "答：", "-", "\n\n[4]", None, " ", "Answer:"]
@@ -124,3 +124,32 @@ def test_count_tables_reach_the_driver_in_blocks(spark, monkeypatch):
     assert triples.sum() == sum(len(set(zip(t, t[1:], t[2:], strict=False))) for t in texts)
     assert (triples == np.bincount(pairs._cells(pairs.grams(texts)[1]), minlength=len(triples))).all()
     assert count_endings(frame.limit(0)).sum() == 0
+
+
+def test_small_inputs_take_little_of_the_driver(spark, monkeypatch):
+    """The count tables of a few texts reach the driver as few bytes, and a chain of openings as one level of clusters."""
+    draw, labels, sizes, own = random.Random(11), [], [], grouping.written
+    text, rows = [chr(0x4E00 + draw.randrange(20_000)) for _ in range(90)], []
+    for k in range(28):
+        rows += [("".join(text) + "。", f"q{k}", True)] * 3
+        text = [*text[: 3 * k], "甲", *text[3 * k + 1 :]]
+    frame = spark.createDataFrame(rows, "opening string, question_key string, refused boolean")
+    kind = type(frame)
+
+    def counted(self, collect=kind.collect):
+        out = collect(self)
+        sizes.append(sum(len(r.cells) for r in out if "cells" in r))
+        return out
+
+    def labelled(df, label="stage"):
+        labels.append(label)
+        return own(df, label)
+
+    monkeypatch.setattr(grouping, "written", labelled)
+    monkeypatch.setattr(kind, "collect", counted)
+    assert count_endings(frame.selectExpr("opening AS text"))[0].sum() > 0
+    found = templates(frame)
+    assert len(sizes) == 3 and 0 < sum(sizes) < 1 << 20
+    assert labels.count("clusters") == 1
+    out = found.toPandas()
+    assert len(out) == 28 and out["template"].nunique() == 1
