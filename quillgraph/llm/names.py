@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.lookalikes import FOREIGN, IS_IGNORABLE, LATIN
 from quillgraph.llm.text import TO_SIMPLIFIED
-from quillgraph.plans import bounded_broadcast, written
+from quillgraph.plans import bounded_broadcast, shuffled, written
 from quillgraph.sources import table
 
 #: Added to the weight of a name in letters that a name in characters is read as.
@@ -138,6 +138,11 @@ def spoken(name: str, aliases: Iterable[str] | None) -> tuple[list[tuple[str, st
     return stands, [(chinese[0].group(k), latin[0].group(k).lower()) for k in (1, 2)] if chinese and latin else []
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """As `written`, kept from broadcasts: files of names are a small part of their rows, all the more once these are exploded."""
+    return shuffled(written(df, label))
+
+
 def learn(records: list[tuple[str, list[str]]]) -> Tables:
     """Tables from (name, aliases) of records that spell one name in both scripts."""
     pairs: list[tuple[str, str]] = []
@@ -196,9 +201,9 @@ def learnt(records: DataFrame) -> Tables:
         return ways.select("*", F.posexplode("way").alias("place", "x")).select(*more, "place", F.expr("substring(chars, place + 1, 1)").alias("c"), "x")
 
     whole = records.groupBy("name", "aliases").agg(F.count("*").alias("n"))
-    seen = written(whole.mapInPandas(read, "chars string, word string, n long").groupBy("chars", "word").agg(F.sum("n").alias("n")), "seen")
+    seen = stored(whole.mapInPandas(read, "chars string, word string, n long").groupBy("chars", "word").agg(F.sum("n").alias("n")), "seen")
     # a word has four letters at least
-    ways = written(seen.where("length(word) > 1").mapInPandas(split, "chars string, word string, n long, way array<string>"), "ways")
+    ways = stored(seen.where("length(word) > 1").mapInPandas(split, "chars string, word string, n long, way array<string>"), "ways")
     weights = None
     for _ in range(ROUNDS):
         shares = ways.withColumn("share", F.lit(1.0))
@@ -208,7 +213,7 @@ def learnt(records: DataFrame) -> Tables:
             shares = held.groupBy("chars", "word", "n", "way").agg((at[0] * at[1] * at[2]).alias("share"))
         part = F.col("n") * F.greatest(F.lit(1), F.round(F.col("share") / F.sum("share").over(Window.partitionBy("chars", "word")) * UNIT).cast("long"))
         counts = by_character(shares.withColumn("part", part), "part").groupBy("c", "x").agg(F.sum("part").alias("part"))
-        weights = written(counts.withColumn("weight", F.col("part") / F.sum("part").over(Window.partitionBy("c"))), "weights")
+        weights = stored(counts.withColumn("weight", F.col("part") / F.sum("part").over(Window.partitionBy("c"))), "weights")
     n = F.round(F.col("part") / UNIT, 6)
     best = weights.where(n >= 2).groupBy("c").agg(F.min(F.struct((-n).alias("n"), "x")).alias("best")).select("c", "best.x").collect()
     own = F.sum(F.when(F.col("word") == "g", F.col("n")).otherwise(0))
@@ -277,27 +282,31 @@ def parse(name: str, tables: Tables) -> tuple[str, str, str, str, str]:
     return "other", kind, mark, t, ""
 
 
-def followed(nodes: DataFrame) -> DataFrame:
-    """nodes(cell, text, weight) -> cell, text, lead: the heaviest text within the radius, itself included, followed to its end."""
+def within_radius(nodes: DataFrame) -> DataFrame:
+    """nodes(cell, text, weight) -> cell, text, other, weight: the heavier texts within the radius of each text, and their weight."""
     keys = F.expr("array_distinct(concat(array(text), transform(sequence(1, length(text)), k -> concat(substring(text, 1, k - 1), substring(text, k + 1)))))")
     probes = nodes.where("text <> ''").select("cell", "text", "weight", F.explode(keys).alias("key"))
     swapped = F.expr(
         "length(text) = length(other) and exists(sequence(1, length(text)), k -> concat(substring(other, 1, k - 1), substring(other, k + 1, 1), substring(other, k, 1), substring(other, k + 2)) = text)"
     )
-    pairs = (
+    return (
         probes.alias("x")
-        .join(probes.alias("y"), ["cell", "key"])
+        .join(shuffled(probes).alias("y"), ["cell", "key"])
         .where("x.text <> y.text and (y.weight > x.weight or (y.weight = x.weight and y.text < x.text))")
         .select("cell", F.col("x.text").alias("text"), F.col("y.text").alias("other"), F.col("y.weight").alias("weight"))
         .distinct()
         .where((F.levenshtein("text", "other") <= 1) | swapped)
     )
-    lead = pairs.groupBy("cell", "text").agg(F.max(F.struct("weight", F.col("other").alias("lead"))).alias("best")).select("cell", "text", F.col("best.lead").alias("lead"))
+
+
+def followed(nodes: DataFrame) -> DataFrame:
+    """nodes(cell, text, weight) -> cell, text, lead: the heaviest text within the radius, itself included, followed to its end."""
+    lead = within_radius(nodes).groupBy("cell", "text").agg(F.max(F.struct("weight", F.col("other").alias("lead"))).alias("best")).select("cell", "text", F.col("best.lead").alias("lead"))
     # leads are followed to their end: weights rise, or the text falls, at every step
-    lead, moves = written(lead, "leads"), True
+    lead, moves = stored(lead, "leads"), True
     while moves:
         far = lead.select("cell", F.col("text").alias("lead"), F.col("lead").alias("far"))
-        lead = written(lead.join(far, ["cell", "lead"], "left").select("cell", "text", F.coalesce("far", "lead").alias("lead"), F.col("far").isNotNull().alias("moved")), "leads")
+        lead = stored(lead.join(far, ["cell", "lead"], "left").select("cell", "text", F.coalesce("far", "lead").alias("lead"), F.col("far").isNotNull().alias("moved")), "leads")
         moves = not lead.where("moved").isEmpty()
         lead = lead.drop("moved")
     return nodes.select("cell", "text").join(lead, ["cell", "text"], "left").select("cell", "text", F.coalesce("lead", "text").alias("lead"))
@@ -366,7 +375,7 @@ def entities_of(spellings: DataFrame, tables: Tables, listed: DataFrame) -> tupl
                         out += [(cell, letters, f"{x}|{y}") for x, y in ((own.letters(a), own.letters(b)), (own.letters(b), own.letters(a)))]
             yield pd.DataFrame(out, columns=["cell", "letters", "text"])
 
-    parsed = written(spellings.mapInPandas(run, "name string, n long, form string, kind string, mark string, given string, family string"), "parsed")
+    parsed = stored(spellings.mapInPandas(run, "name string, n long, form string, kind string, mark string, given string, family string"), "parsed")
     cell = F.concat_ws("/", "kind", "mark")
     text = F.concat_ws("|", "given", "family")
     full = parsed.where("form in ('chinese', 'latin')").select("name", "n", "form", cell.alias("cell"), text.alias("text"), "given", "family")
@@ -376,13 +385,13 @@ def entities_of(spellings: DataFrame, tables: Tables, listed: DataFrame) -> tupl
             own = shared.value
             yield pd.DataFrame({"cell": batch["cell"], "key": batch["key"], "given": [own.letters(g[:1]) for g in batch["given"]], "family": [own.letters(f) for f in batch["family"]]})
 
-    leads = written(followed(chinese).mapInPandas(romanise, "cell string, text string, lead string, letters string"), "leads")
+    leads = stored(followed(chinese).mapInPandas(romanise, "cell string, text string, lead string, letters string"), "leads")
     heavy = leads.join(chinese, ["cell", "text"]).where("letters is not null").groupBy("cell", F.col("letters").alias("text")).agg((F.sum("weight") + HEAVY).alias("weight"))
     latin = full.where("form = 'latin'")
     both = latin.select("name", "cell", "text", "n").unionByName(latin.select("name", "cell", F.concat_ws("|", "family", "given").alias("text"), F.lit(0).alias("n")))
     nodes = heavy.unionByName(both.groupBy("cell", "text").agg(F.sum("n").cast("long").alias("weight"))).groupBy("cell", "text").agg(F.max("weight").alias("weight"))
-    nodes = written(nodes, "latin")
-    follow = written(followed(nodes).join(nodes.select("cell", F.col("text").alias("lead"), "weight"), ["cell", "lead"]), "follow")
+    nodes = stored(nodes, "latin")
+    follow = stored(followed(nodes).join(nodes.select("cell", F.col("text").alias("lead"), "weight"), ["cell", "lead"]), "follow")
     letters = follow.select("cell", F.col("text").alias("letters"), F.col("lead").alias("key"))
     # two neighbouring characters that changed places are further apart in letters than the radius
     swapped = leads.mapInPandas(neighbours_swapped, "cell string, letters string, text string").join(letters, ["cell", "letters"]).groupBy("cell", "text").agg(F.min("key").alias("other"), F.max("key").alias("last"))
@@ -394,11 +403,11 @@ def entities_of(spellings: DataFrame, tables: Tables, listed: DataFrame) -> tupl
     )
     # names of any other make: typos and reordered parts, told by the distance of their sorted parts alone
     other = parsed.where("form = 'other'").select("name", "n", F.concat(F.lit("other/"), "mark").alias("cell"), plain_text(F.col("given")).alias("text"))
-    told = written(followed(other.where(F.length("text") >= LEAST).groupBy("cell", "text").agg(F.sum("n").cast("long").alias("weight"))), "other")
+    told = stored(followed(other.where(F.length("text") >= LEAST).groupBy("cell", "text").agg(F.sum("n").cast("long").alias("weight"))), "other")
     of_other = other.join(told, ["cell", "text"], "left").select("name", "cell", F.coalesce("lead", "text").alias("key"))
-    whole = written(of_latin.unionByName(of_chinese), "whole")
+    whole = stored(of_latin.unionByName(of_chinese), "whole")
     # initials, nicknames and clipped names: exactly one entity may fit
-    people = written(full.where("form = 'chinese'").join(whole.select("name", "key"), "name").select("cell", "key", "given", "family").distinct(), "people")
+    people = stored(full.where("form = 'chinese'").join(whole.select("name", "key"), "name").select("cell", "key", "given", "family").distinct(), "people")
     spoken = people.mapInPandas(first_syllables, "cell string, key string, given string, family string").where("given is not null and family is not null")
     written_latin = latin.join(whole.select("name", "key"), "name").select("cell", "key", "given", "family")
     short = parsed.where("form in ('initial', 'nick', 'clipped')").select("name", "form", cell.alias("cell"), F.col("given").alias("piece"), "family")
@@ -428,11 +437,11 @@ def entities_of(spellings: DataFrame, tables: Tables, listed: DataFrame) -> tupl
                     out.append((id, name, mine, full, *parts))
             yield pd.DataFrame(out, columns=["id", "name", "cell", "full", "given", "family"])
 
-    fits = written(fits, "fits")
-    open_names = short.where("form <> 'clipped'").join(fits.select("name"), "name", "left_anti").join(listed.where("alias <> ''"), "name")
-    said = written(open_names.mapInPandas(agreeing, "id string, name string, cell string, full string, given string, family string"), "said")
+    fits = stored(fits, "fits")
+    open_names = short.where("form <> 'clipped'").join(fits.select("name"), "name", "left_anti").join(shuffled(listed.where("alias <> ''")), "name")
+    said = stored(open_names.mapInPandas(agreeing, "id string, name string, cell string, full string, given string, family string"), "said")
     # the entity of an alias: of the same spelling, else of the same name in characters or letters
-    keyed = written(followed_key(said, leads, letters), "keyed")
+    keyed = stored(followed_key(said, leads, letters), "keyed")
     own = keyed.groupBy("id", "name").agg(F.min(F.concat_ws("#", "cell", "key")).alias("own"), F.max(F.concat_ws("#", "cell", "key")).alias("last")).where("own = last").select("id", "name", "own")
     by_alias = keyed.groupBy("name", "cell").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").select("name", "cell", "key")
     fits = fits.unionByName(by_alias)
@@ -463,15 +472,15 @@ def same_entities(records: DataFrame, ends: DataFrame, shows: DataFrame) -> Data
     spellings = records.where("name <> ''").select("name").union(ends.select("name")).groupBy("name").agg(F.count("*").alias("n"))
     aliases = records.where("name <> ''").select("id", "name", F.explode("aliases").alias("alias")).distinct()
     entity, own = entities_of(spellings, tables, aliases)
-    entity = written(entity, "entities")
+    entity = stored(entity, "entities")
     named = records.where("name <> ''").select("id", "name").distinct().join(entity, "name").join(own, ["id", "name"], "left")
-    owners = written(named.select("id", F.coalesce("own", "entity").alias("entity")).distinct(), "owners")
+    owners = stored(named.select("id", F.coalesce("own", "entity").alias("entity")).distinct(), "owners")
     pairs = owners.alias("x").join(owners.alias("y"), "entity").where("x.id < y.id").select(F.col("x.id").alias("left_key"), F.col("y.id").alias("right_key"))
     listed = (
         records.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name")).join(owners, "id").select("entity", "name").distinct()
     )
     unlisted = entity.join(owners.select("entity").distinct(), "entity", "left_semi").join(listed, ["entity", "name"], "left_anti")
-    linked = ends.join(unlisted, "name").join(owners, "entity").select("key", "id")
+    linked = ends.join(shuffled(unlisted), "name").join(owners, "entity").select("key", "id")
     forms = shows.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).where("form <> ''")
     rows = shows.select("id", "name", "aliases").limit(SHOWS + 1).collect()
     if len(rows) > SHOWS:

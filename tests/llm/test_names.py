@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm.names import Tables, folded, learn, near, parse, same_entities, show_of
+from quillgraph.llm.names import Tables, folded, learn, near, parse, same_entities, show_of, stored, within_radius
 
 GIVEN = dict(zip("阿巴卡达法加哈罗米诺帕萨", ["a", "ba", "ka", "da", "fa", "jia", "ha", "luo", "mi", "nuo", "pa", "sa"], strict=True))
 FAMILY = dict(zip("川冬枫海江林宁桥山松田云", ["chuan", "dong", "feng", "hai", "jiang", "lin", "ning", "qiao", "shan", "song", "tian", "yun"], strict=True))
@@ -183,3 +183,13 @@ def test_records_without_a_name_teach_the_tables(spark):
     rows = [([None, ""][k % 2], [a, b]) for k, (a, b) in enumerate(names(60))] + [("珂巴卡·川冬枫", None), ("珂巴卡·川冬枫", None), (None, None)]
     found, want = learnt(spark.createDataFrame(rows, "name string, aliases array<string>")), learn(rows)
     assert found.syllables == want.syllables == GIVEN | FAMILY and found.given == want.given and found.given["珂"] > 0.8
+
+
+def test_exploded_and_stored_names_are_not_broadcast(spark):
+    """Files of 10 kB count as small, whatever is exploded from them."""
+    nodes = spark.range(400).selectExpr("'person/' AS cell", "concat('name ', lpad(id, 6, '0')) AS text", "id AS weight")
+    stored(nodes, "test").write.mode("overwrite").saveAsTable("names_test")
+    plain = spark.table("names_test")
+    for df in (within_radius(plain), stored(nodes, "test").join(plain, ["cell", "text"])):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString() and df.count()
+    spark.sql("DROP TABLE names_test")
